@@ -15,6 +15,12 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op9_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
     from .warc import page_derivatives
 
