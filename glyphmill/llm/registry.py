@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphmill.session import table
 
@@ -21,6 +22,23 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    from .quality import KEEP, score_quality, train
+
+    docs = table(spark, sf, "documents")
+    return score_quality(docs, train(docs, table(spark, sf, "labels"))).filter(F.col("score") >= KEEP)
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that the classifier calls toxic, with their scores."""
+    from .toxicity import score_toxicity, train
+
+    docs = table(spark, sf, "documents")
+    model = train(docs, table(spark, sf, "labels"))
+    return score_toxicity(docs, model).filter(F.col("score") >= 0.5)
+
+
 def op9_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
     from .warc import page_derivatives
 
