@@ -22,6 +22,13 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs of lines that are deleted."""
+    from .line_dedup import repeated_runs
+
+    return repeated_runs(table(spark, sf, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     from .quality import KEEP, score_quality, train
@@ -56,4 +63,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup
+
+    return {"op4_line_dedup": line_dedup.SQL}
