@@ -37,6 +37,12 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(docs, train(docs, table(spark, sf, "labels"))).filter(F.col("score") >= KEEP)
 
 
+def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    from .ngram_join import similar_pairs
+
+    return similar_pairs(table(spark, sf, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """The documents that the classifier calls toxic, with their scores."""
     from .toxicity import score_toxicity, train
@@ -63,6 +69,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup
+    from . import line_dedup, ngram_join
 
-    return {"op4_line_dedup": line_dedup.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op6_ngram_join": ngram_join.SQL}
