@@ -134,3 +134,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     on = (units["doc_id"] == taken["td"]) & (key == taken["tk"]) & (F.when(units["source"].isNull(), 1).otherwise(0) == taken["tn"])
     whole_part = F.when(F.col("p") >= ONE, F.floor("expected") + 1).otherwise(F.floor("expected"))
     return units.join(taken, on, "left").select("doc_id", "source", "expected", (whole_part + F.coalesce("extra", F.lit(0))).cast("long").alias("copies"))
+
+
+def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents that :func:`mix_sources` takes, with all their columns and ``copies``.
+
+    A column ``copies`` that the documents have is replaced. Rows with a null id
+    can't be drawn: they stay, once each.
+    """
+    got = mix_sources(docs, weights, temperature, budget, seed, id_col, text_col, source_col).select(F.col("doc_id").alias("__qd"), F.col("source").alias("__qs"), F.col("copies").alias("__qn")).distinct()
+    own = docs.drop("copies")
+    on = (own[id_col].cast("long") == got["__qd"]) & own[source_col].cast("string").eqNullSafe(got["__qs"])
+    out = own.join(got, on, "left").withColumn("copies", F.when(own[id_col].isNull(), F.lit(1)).otherwise(F.col("__qn")).cast("long"))
+    return out.drop("__qd", "__qs", "__qn").filter("copies > 0")
