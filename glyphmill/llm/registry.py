@@ -52,6 +52,12 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(docs, model).filter(F.col("score") >= 0.5)
 
 
+def op8_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    from .repeats import repeated_passages
+
+    return repeated_passages(table(spark, sf, "documents"))
+
+
 def op9_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
     from .warc import page_derivatives
 
@@ -69,6 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, ngram_join
+    from . import line_dedup, ngram_join, repeats
 
-    return {"op4_line_dedup": line_dedup.SQL, "op6_ngram_join": ngram_join.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op6_ngram_join": ngram_join.SQL, "op8_repeated_passages": repeats.SQL}
