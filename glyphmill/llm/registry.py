@@ -16,6 +16,13 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"))
 
 
+def op2_lz_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents with similar fingerprints."""
+    from .fingerprints import similar_pairs
+
+    return similar_pairs(table(spark, sf, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from .decontaminate import contamination
 
