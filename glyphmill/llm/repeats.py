@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import batches, binary, by_group, prepare, stash, texts, unbinary
 from .textvec import U, grams, mix, signed, words
 
-LENGTH, GRAM = 50, 25
+LENGTH, GRAM = 50, 20
 #: Words of fragments that one transform is built over, unless one group alone has more.
 CHUNK = 1 << 19
 
@@ -138,7 +138,7 @@ def repeated(s: np.ndarray, bound: int) -> np.ndarray:
 
 
 def find(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, fragment, start): windows of the fragments that occur more than once."""
+    """(fragment, first, last): runs of windows of the fragments that occur more than once."""
     anchor, frag, n = (t.column(c).to_numpy() for c in ("anchor", "frag", "n"))
     flat, off = unbinary(pa.chunked_array(t.column("grams").chunks).combine_chunks(), np.uint32)
     size = np.diff(off)
@@ -155,7 +155,10 @@ def find(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     left = np.repeat(to[1:], size + 1) - 1 - np.arange(len(s))
     hit = np.flatnonzero((rep | many) & (left >= length))
     f = np.searchsorted(to, hit, side="right") - 1
-    yield pa.RecordBatch.from_arrays([pa.array(frag[f]), pa.array((hit - to[f]).astype(np.int32))], ["frag", "at"])
+    at = (hit - to[f]).astype(np.int32)
+    cut = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (at[1:] != at[:-1] + 1)]) if len(f) else f
+    last = np.r_[cut[1:] - 1, len(f) - 1] if len(f) else f
+    yield pa.RecordBatch.from_arrays([pa.array(frag[f[cut]]), pa.array(at[cut]), pa.array(at[last])], ["frag", "a", "b"])
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,24 +179,24 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, c
     2**-32 each, if all other words agree.
     """
     prepare(docs.sparkSession)
-    d = texts(docs, id_col, text_col).filter("doc_id is not null").withColumn("tkey", F.xxhash64("text"))
+    # a document is its id and text in one number
+    d = texts(docs, id_col, text_col).filter("doc_id is not null").withColumn("doc", F.xxhash64("doc_id", "text"))
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            w = words(b.column(1))
+            w = words(b.column(0))
             row, start, count, anchor, frag = anchors(w.hashes, w.off, length, gram)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(frag)), b.column(0).take(at), b.column(2).take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "frag", "doc_id", "tkey", "start", "windows"])
-
-    marks = stash(d.mapInArrow(mark, "anchor long, frag long, doc_id long, tkey long, start int, windows int"), "anchors")
-    # equal rows are one place; the count of places of each fragment
-    place = F.xxhash64("doc_id", "tkey", "start")
-    frags = marks.groupBy("anchor", "frag").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("doc_id", "tkey", "start", "windows")).alias("one"))
-    shared = frags.groupBy("anchor").agg(F.min("p").alias("least"), F.max("q").alias("most")).filter("least <> most").select(F.col("anchor").alias("sa"))
-    live = stash(frags.join(shared, F.col("anchor") == F.col("sa")).select("anchor", "frag", F.when(F.col("p") == F.col("q"), 1).otherwise(2).alias("n"), "one"), "fragments")
+            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(frag)), b.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "frag", "doc", "start", "windows"])
+
+    marks = stash(d.select("text", "doc").mapInArrow(mark, "anchor long, frag long, doc long, start int, windows int"), "anchors")
+    # repeated rows are one place
+    place = F.xxhash64("doc", "start")
+    shared = marks.select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("p"), F.max("p").alias("q")).filter("p <> q").select("anchor")
+    live = stash(marks.join(shared, "anchor", "left_semi").distinct(), "fragments")
+    frags = live.groupBy("anchor", "frag").agg(F.min(F.struct("doc", "start", "windows")).alias("one"), F.count("*").alias("n"))
     # the fragments' words, each from one of its places
-    wanted = live.groupBy(F.col("one.doc_id").alias("__id"), F.col("one.tkey").alias("__tk")).agg(F.collect_list(F.struct("anchor", "frag", "n", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("want"))
-    near = d.join(wanted, (d["doc_id"] == wanted["__id"]) & (d["tkey"] == wanted["__tk"])).select("text", "want")
+    wanted = frags.select(F.col("one.doc").alias("of"), F.struct("anchor", "frag", F.least("n", F.lit(2)).cast("int").alias("n"), F.col("one.start").alias("start"), F.col("one.windows").alias("windows")).alias("w")).groupBy("of").agg(F.collect_list("w").alias("want"))
+    near = d.select("text", "doc").join(wanted, F.col("doc") == F.col("of")).select("text", "want")
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -209,14 +212,16 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, c
             yield pa.RecordBatch.from_arrays([col["anchor"], col["frag"], col["n"], binary((w.hashes[idx] >> U(32)).astype(np.uint32), to)], ["anchor", "frag", "n", "grams"])
 
     content = near.mapInArrow(fetch, "anchor long, frag long, n int, grams binary")
-    found = by_group(content, ["anchor"], lambda t: find(t, length), "frag long, at int", most=chunk // (length + 12), order=["frag"])
-    hits = found.groupBy(F.col("frag").alias("hf")).agg(F.collect_set("at").alias("ats"))
-    covered = marks.join(hits, F.col("frag") == F.col("hf")).select("doc_id", "tkey", F.explode("ats").alias("at"), "start").select("doc_id", "tkey", (F.col("start") + F.col("at")).alias("first")).distinct()
-    w = Window.partitionBy("doc_id", "tkey").orderBy("first")
-    # a window joins the passage before it if it starts inside or right after it
-    new = F.coalesce((F.col("first") > F.lag("first").over(w) + length).cast("int"), F.lit(1))
-    runs = covered.withColumn("new", new).withColumn("passage", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "tkey", "passage").agg(F.min("first").alias("start_word"), (F.max("first") + length - 1).cast("int").alias("end_word")).select("doc_id", "start_word", "end_word")
+    found = by_group(content, ["anchor"], lambda t: find(t, length), "frag long, a int, b int", most=chunk // (length + 12), order=["frag"])
+    hits = live.select("frag", "doc", "start").join(found, "frag").select("doc", (F.col("start") + F.col("a")).alias("first"), (F.col("start") + F.col("b")).alias("last"))
+    w = Window.partitionBy("doc").orderBy("first", "last")
+    # a run of windows joins those before it if it starts inside or right after them
+    ahead = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("new", F.coalesce((F.col("first") > ahead + length).cast("int"), F.lit(1)))
+    runs = runs.withColumn("passage", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc", "passage").agg(F.min("first").alias("start_word"), (F.max("last") + length - 1).cast("int").alias("end_word"))
+    ids = d.select(F.col("doc").alias("of"), "doc_id").distinct()
+    return spans.join(ids, F.col("doc") == F.col("of")).select("doc_id", "start_word", "end_word")
 
 
 SQL = f"""
