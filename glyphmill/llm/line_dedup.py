@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col:
     key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     at = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col in docs.columns else None
-    joined = docs.join(marks, (docs[id_col].cast("long") == marks["__qd"]) & (key == marks["__qt"]), "left").drop("__qd", "__qt")
+    joined = docs.join(marks.hint("merge"), (docs[id_col].cast("long") == marks["__qd"]) & (key == marks["__qt"]), "left").drop("__qd", "__qt")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, text_col):

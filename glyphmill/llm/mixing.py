@@ -145,5 +145,5 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temp
     got = mix_sources(docs, weights, temperature, budget, seed, id_col, text_col, source_col).select(F.col("doc_id").alias("__qd"), F.col("source").alias("__qs"), F.col("copies").alias("__qn")).distinct()
     own = docs.drop("copies")
     on = (own[id_col].cast("long") == got["__qd"]) & own[source_col].cast("string").eqNullSafe(got["__qs"])
-    out = own.join(got, on, "left").withColumn("copies", F.when(own[id_col].isNull(), F.lit(1)).otherwise(F.col("__qn")).cast("long"))
+    out = own.join(got.hint("merge"), on, "left").withColumn("copies", F.when(own[id_col].isNull(), F.lit(1)).otherwise(F.col("__qn")).cast("long"))
     return out.drop("__qd", "__qs", "__qn").filter("copies > 0")

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import meeting, tile_pairs, tiled
 from .common import batches, binary, by_group, prepare, stash, texts, unbinary
 from .graph import components
 from .textvec import U, distinct, grams, mix, row_reduce, signed, words
@@ -20,6 +21,8 @@ ORDERS = 20
 #: The most sets in a tile: trees and matrices are for a tile at a time.
 TILE = 1024
 MATRIX = 64 << 20
+#: Bytes of a sketch, and the share of them that must agree for a link. At similarity 0.5 about 0.5 do.
+SKETCH, LINK = 128, 0.34
 
 
 def gram_sets(arr: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +41,12 @@ def gram_sets(arr: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return distinct(g, to)
 
 
-def signatures(arr: pa.Array, n: int, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set id, size, keys): a key is the node of depth two that a set has in the tree of one order."""
+def signatures(arr: pa.Array, n: int, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set id, size, keys, sketch) of each text.
+
+    A key is the node of depth two that a set has in the tree of one order. The sketch
+    has a byte of the least gram of each of its parts of all possible hashes.
+    """
     g, to = gram_sets(arr, n)
     row = np.repeat(np.arange(len(to) - 1), np.diff(to))
     sid = mix(row_reduce(np.add, mix(g ^ U(0x5851F42D4C957F2D)), to, U(0)) + np.diff(to).astype(U))
@@ -52,7 +59,14 @@ def signatures(arr: pa.Array, n: int, orders: int) -> tuple[np.ndarray, np.ndarr
         first = row_reduce(np.minimum, m, to, top)
         m[m == first[row]] = top
         keys[:, o] = mix(first + U(o)) + row_reduce(np.minimum, m, to, top) * U(3)
-    return sid, np.diff(to), keys
+    sketch = np.zeros((len(to) - 1, SKETCH), np.uint8)
+    spread = mix(g)
+    part = (spread >> U(57)).astype(np.int64)
+    order = np.lexsort((spread, row))
+    at = row[order] * SKETCH + part[order]
+    least = order[np.r_[True, at[1:] != at[:-1]]] if len(at) else order
+    sketch.ravel()[row[least] * SKETCH + part[least]] = np.maximum((spread[least] & U(0xFF)).astype(np.uint8), 1)
+    return sid, np.diff(to), keys, sketch
 
 
 def trie_join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: float) -> list[tuple[int, int, int]]:
@@ -132,14 +146,15 @@ def join_tiles(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     cut = np.flatnonzero((np.diff(comp) != 0) | (np.diff(ti) != 0) | (np.diff(tj) != 0)) + 1
     got: list[tuple[int, int, float]] = []
     for a, b in zip(np.r_[0, cut], np.r_[cut, len(comp)]):
-        sets = [flat[off[k] : off[k + 1]] for k in range(a, b)]
-        s = side[a:b]
+        own = list({(int(side[k]), int(doc[k]), flat[off[k] : off[k + 1]].tobytes()): k for k in range(a, b)}.values())  # repeated rows count once
+        sets = [flat[off[k] : off[k + 1]] for k in own]
+        s, ids = side[own], doc[own]
         one = ti[a] == tj[a]
-        lefts, rights = (np.arange(b - a),) * 2 if one else (np.flatnonzero(s == 0), np.flatnonzero(s == 1))
+        lefts, rights = (np.arange(len(own)),) * 2 if one else (np.flatnonzero(s == 0), np.flatnonzero(s == 1))
         if not len(lefts) or not len(rights):
             continue
         for x, y, o in trie_join(sets, lefts, rights, threshold):
-            p, q = int(doc[a + x]), int(doc[a + y])
+            p, q = int(ids[x]), int(ids[y])
             if p != q and (p < q or not one):
                 got.append((min(p, q), max(p, q), round(o / (len(sets[x]) + len(sets[y]) - o), 6)))
     if got:
@@ -157,7 +172,8 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, ord
     Every document is a query. Sets can only be compared if they meet under one of
     ``orders`` random orders, in having the same two least grams (a node of depth two
     of that order's tree): with similarity J that fails with probability
-    ``(1 - J * J) ** orders`` at most, 0.3 % at 0.5 and 0.001 % at 0.65. Sets that meet,
+    ``(1 - J * J) ** orders`` at most, 0.3 % at 0.5 and 0.001 % at 0.65. Sets that meet must also
+    have similar sketches of 128 bytes, which fails with less than 0.1 % at 0.5. Sets so linked,
     directly or through others, are one component; its pairs are found exactly by
     :func:`trie_join`, in tiles of ``tile`` sets.
 
@@ -169,24 +185,21 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, ord
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            sid, size, keys = signatures(b.column(1), n, orders)
+            sid, size, keys, sketch = signatures(b.column(1), n, orders)
             keep = pa.array(size > 0)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), orders).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(signed(sid)), lists], ["doc_id", "tkey", "sid", "keys"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(signed(sid)), lists, binary(sketch.ravel(), np.arange(len(sid) + 1) * SKETCH)], ["doc_id", "tkey", "sid", "keys", "sketch"]).filter(keep)
 
     d = texts(docs, id_col, text_col).filter("doc_id is not null").withColumn("tkey", F.xxhash64("text"))
-    base = stash(d.mapInArrow(sign, "doc_id long, tkey long, sid long, keys array<long>"), "signatures")
-    rep = stash(base.groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.max("doc_id").alias("most"), F.first("keys").alias("keys")).select("sid", "r.doc_id", "r.tkey", "most", "keys"), "sets")
+    base = stash(d.mapInArrow(sign, "doc_id long, tkey long, sid long, keys array<long>, sketch binary"), "signatures")
+    rep = stash(base.groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.max("doc_id").alias("most"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select("sid", "r.doc_id", "r.tkey", "most", "keys", "sketch"), "sets")
     equal = base.select(F.col("sid").alias("s"), F.col("doc_id").alias("doc_b")).join(rep.filter("most > doc_id").select("sid", F.col("doc_id").alias("doc_a")), F.col("s") == F.col("sid")).filter("doc_b > doc_a").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).distinct()
-    nodes = rep.select("sid", F.explode("keys").alias("key"))
-    hubs = nodes.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("other")).filter("other > hub").select("key", "hub")
-    comps = components(nodes.join(hubs, "key").filter("sid > hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+    comps = meeting(rep.select("sid", F.explode("keys").alias("key")), rep.select("sid", "sketch"), SKETCH, LINK)
     # tiles go by id; a pair of tiles is a task of its own
-    placed = rep.select("sid", "doc_id", "tkey").join(comps, rep["sid"] == comps["node"]).select("comp", F.col("doc_id").alias("__id"), F.col("tkey").alias("__tk"))
-    place = stash(placed.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("__id", "__tk")) - 1) / tile).cast("int")), "tiles")
-    count = place.groupBy("comp").agg(F.max("tile").alias("last")).select(F.col("comp").alias("c"), "last")
-    place = place.join(count, F.col("comp") == F.col("c")).drop("c")
-    near = d.join(place, (d["doc_id"] == place["__id"]) & (d["tkey"] == place["__tk"]))
+    placed = rep.select("sid", "doc_id", "tkey").join(comps, F.col("sid") == F.col("node")).select("comp", F.col("doc_id").alias("__id"), F.col("tkey").alias("__tk"))
+    place = tiled(placed, tile, ["__id", "__tk"], "tiles")
+    # merged at every size: whether the ids of a small corpus could be broadcast doesn't decide the plan
+    near = d.join(place.hint("merge"), (d["doc_id"] == place["__id"]) & (d["tkey"] == place["__tk"]))
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -194,13 +207,9 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, ord
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), binary(g, to)], ["doc_id", "comp", "tile", "last", "grams"])
 
     sets = near.select("doc_id", "text", "comp", "tile", "last").mapInArrow(build, "doc_id long, comp long, tile int, last int, grams binary")
-    pairs_of = F.flatten(F.array(
-        F.transform(F.sequence("tile", "last"), lambda j: F.struct(F.col("tile").alias("ti"), j.alias("tj"), F.lit(0).alias("side"))),
-        F.when(F.col("tile") > 0, F.transform(F.sequence(F.lit(0), F.col("tile") - 1), lambda i: F.struct(i.alias("ti"), F.col("tile").alias("tj"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<ti:int,tj:int,side:int>>")),
-    ))
-    spread = sets.select("doc_id", "comp", "grams", F.explode(pairs_of).alias("p")).select("comp", "p.ti", "p.tj", "p.side", "doc_id", "grams")
+    spread = tile_pairs(sets, "doc_id", "grams")
     joined = by_group(spread, ["comp", "ti", "tj"], lambda t: join_tiles(t, threshold), "doc_a long, doc_b long, jaccard double", most=512, order=["doc_id"])
-    return equal.unionByName(joined.distinct())
+    return equal.unionByName(joined)
 
 
 def drop_similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +220,7 @@ def drop_similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orde
     """
     pairs = stash(similar_pairs(docs, n, threshold, orders, tile, id_col, text_col), "pairs")
     gone = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).filter("node <> comp").select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone["__gone"], "left_anti")
 
 
 SQL = f"""
