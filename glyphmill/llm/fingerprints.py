@@ -116,13 +116,22 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, hashes: int = H
     out; rows of one id never match each other, and repeated rows count once;
     an empty table gives no rows.
     """
-    base = fingerprints(docs, hashes, phrase, id_col, text_col).filter("doc_id is not null and phrases > 0")
-    base = stash(base.select("doc_id", F.xxhash64("signature").alias("sid"), "signature"), "fingerprints")
-    sets = base.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("most"), F.min("signature").alias("sig"))
-    reps = sets.select("sid", "doc", "most")
-    equal = base.select(F.col("sid").alias("s"), F.col("doc_id").alias("doc_b")).join(reps.filter("most > doc"), F.col("s") == F.col("sid")).filter("doc_b > doc").select(F.col("doc").alias("doc_a"), "doc_b", F.lit(1.0).alias("similarity")).distinct()
-    nodes = base.select("sid", F.explode(F.expr(f"transform(sequence(0, {hashes // band - 1}), k -> xxhash64(k, substring(signature, k * {4 * band} + 1, {4 * band})))")).alias("key"))
-    comps = meeting(nodes)
+    prepare(docs.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            n, sig = signatures(b.column(1), hashes, phrase)
+            to = np.arange(len(n) + 1) * hashes
+            sketch = np.maximum(sig.astype(np.uint8), 1)  # for links one byte of each hash will do
+            yield pa.RecordBatch.from_arrays([b.column(0), binary(sig.ravel(), to), binary(sketch.ravel(), to)], ["doc_id", "sig", "sketch"]).filter(pa.array(n > 0))
+
+    d = texts(docs, id_col, text_col).filter("doc_id is not null")
+    base = stash(d.mapInArrow(run, "doc_id long, sig binary, sketch binary").withColumn("sid", F.xxhash64("sig")), "fingerprints")
+    sets = base.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("most"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
+    sets = stash(sets, "signatures")
+    equal = base.select(F.col("sid").alias("s"), F.col("doc_id").alias("doc_b")).join(sets.filter("most > doc").select("sid", "doc"), F.col("s") == F.col("sid")).filter("doc_b > doc").select(F.col("doc").alias("doc_a"), "doc_b", F.lit(1.0).alias("similarity")).distinct()
+    bands = F.expr(f"transform(sequence(0, {hashes // band - 1}), k -> xxhash64(k, substring(sig, k * {4 * band} + 1, {4 * band})))")
+    comps = meeting(sets.select("sid", F.explode(bands).alias("key")), sets.select("sid", "sketch"), hashes, threshold)
     place = sets.join(comps, F.col("sid") == F.col("node")).select("comp", F.col("doc").alias("doc_id"), "sig")
     spread = tile_pairs(tiled(place, tile, ["doc_id"], "tiles"), "doc_id", "sig")
     near = by_group(spread, ["comp", "ti", "tj"], lambda t: compare(t, hashes, threshold), "doc_a long, doc_b long, similarity double", most=2048, order=["doc_id"])
