@@ -28,8 +28,10 @@ from .textvec import U, Words, mix, row_reduce, words
 
 #: The most labelled documents that a model is fitted on.
 SAMPLE = 6_000
-WINDOW, STRIDE = 24, 12
+WINDOW, STRIDE = 8, 4
 BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5)
+#: Training documents that a subword must be in; the vectors of others stay 0 and say nothing.
+LEAST = 4
 
 
 def collapsed(w: Words) -> Words:
@@ -115,6 +117,13 @@ def fit(rows: list[str], y: np.ndarray, passes: int = 3, refine: int = 4, rate:
     row, a, b = windows(w.off)
     label = y[row]
     E = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
+    # documents that have a subword: its distinct words' documents, each once
+    own = np.unique(w.row * len(first) + same)
+    doc, word = own // len(first), own % len(first)
+    n = size[word]
+    sub = bag[np.repeat(at[word] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+    known = np.bincount(np.unique(np.repeat(doc, n) * BUCKETS + sub) % BUCKETS, minlength=BUCKETS) >= LEAST
+    E[~known] = 0
     W, bias = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)
     mE, mW, mb = (np.zeros_like(x) for x in (E, W, bias))
 
@@ -141,7 +150,7 @@ def fit(rows: list[str], y: np.ndarray, passes: int = 3, refine: int = 4, rate:
         d = (p @ W.T) / m[:, None]
         dw = np.stack([np.bincount(inv, d[win, c], len(s)) for c in range(DIM)], 1) / s[:, None]
         ids, where = np.unique(sub, return_inverse=True)
-        dsub = np.repeat(dw, s, axis=0)
+        dsub = np.repeat(dw, s, axis=0) * known[sub][:, None]
         dE = np.stack([np.bincount(where, dsub[:, c], len(ids)) for c in range(DIM)], 1).astype(np.float32)
         mE[ids] += dE**2  # Adagrad
         E[ids] -= rate * dE / (np.sqrt(mE[ids]) + 1e-8)
@@ -190,7 +199,8 @@ def fit(rows: list[str], y: np.ndarray, passes: int = 3, refine: int = 4, rate:
     tp = np.cumsum(t[order])
     f = 2 * tp / (np.arange(1, len(order) + 1) + t.sum())
     i = int(f.argmax())
-    cut = float(worst[order[i]] + worst[order[min(i + 1, len(order) - 1)]]) / 2
+    # in the gap nearer to the clean side, as misspelt words score less than those of the sample
+    cut = float(worst[order[i]] + 3 * worst[order[min(i + 1, len(order) - 1)]]) / 4
     return Model(weight, float(bias[1] - bias[0]), cut)
 
 
