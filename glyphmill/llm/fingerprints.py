@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import meeting, tile_pairs, tiled
 from .common import batches, binary, by_group, prepare, stash, texts, unbinary
-from .textvec import U, mix, row_reduce, signed, words
+from .textvec import U, mix, row_reduce, words
 
 #: Hashes in a signature, in a band of it, and the least similarity of a pair.
 HASHES, BAND, THRESHOLD = 128, 4, 0.5
@@ -43,25 +43,37 @@ def phrases(symbols: list[int], least: int = PHRASE) -> list[int]:
 
 
 def signatures(arr: pa.Array, hashes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of phrases, signature) of each text, with words as symbols."""
+    """(number of phrases, signature) of each text, with words as symbols.
+
+    A signature has the last 16 bits of every minimum, in two planes: first all low bytes,
+    0 taken as 1, then all high bytes. So its first half is a sketch, of which 0 is no byte.
+    """
     w = words(arr)
     symbols = (w.hashes >> U(3)).tolist()
     parts = [phrases(symbols[a:b], least) for a, b in zip(w.off, w.off[1:])]
     n = np.array([len(p) for p in parts], np.int64)
     to = np.concatenate([[0], np.cumsum(n)])
     flat = mix(np.fromiter((x for p in parts for x in p), U, int(to[-1])))
-    sig = np.empty((len(arr), hashes), np.uint32)
+    sig = np.empty((len(arr), 2 * hashes), np.uint8)
     for k in range(hashes):
         m = flat * U((0xD1342543DE82EF95 * (2 * k + 1) ^ 0x5851F42D4C957F2C) & (1 << 64) - 1 | 1)
-        sig[:, k] = row_reduce(np.minimum, m >> U(32), to, TOP)
+        low = row_reduce(np.minimum, m >> U(32), to, TOP)
+        sig[:, k] = np.maximum((low & U(0xFF)).astype(np.uint8), 1)
+        sig[:, hashes + k] = (low >> U(8) & U(0xFF)).astype(np.uint8)
     return n, sig
 
 
+def joined(sig: np.ndarray) -> np.ndarray:
+    """The two planes of signatures as one array of 16-bit numbers."""
+    half = sig.shape[1] // 2
+    return sig[:, :half].astype(np.uint16) | sig[:, half:].astype(np.uint16) << 8
+
+
 def compare(t: pa.Table, hashes: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """The pairs of every tile pair in the table, by counting equal hashes."""
     comp, ti, tj, side, doc = (t.column(c).to_numpy() for c in ("comp", "ti", "tj", "side", "doc_id"))
-    flat, _ = unbinary(t.column("sig").combine_chunks() if t.column("sig").num_chunks != 1 else t.column("sig").chunk(0), np.uint32)
-    sig = flat.reshape(-1, hashes)
+    flat, _ = unbinary(t.column("sig").combine_chunks() if t.column("sig").num_chunks != 1 else t.column("sig").chunk(0), np.uint8)
+    sig = joined(flat.reshape(-1, 2 * hashes))
     cut = np.flatnonzero((np.diff(comp) != 0) | (np.diff(ti) != 0) | (np.diff(tj) != 0)) + 1
     got = []
     for a, b in zip(np.r_[0, cut], np.r_[cut, len(comp)]):
@@ -84,7 +96,7 @@ def compare(t: pa.Table, hashes: int, threshold: float) -> Iterator[pa.RecordBat
 
 
 def fingerprints(docs: DataFrame, hashes: int = HASHES, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, phrases, signature)`` of every row: the number of phrases, and ``hashes`` 32-bit minima as bytes.
+    """``(doc_id, phrases, signature)`` of every row: the number of phrases, and the minima of ``hashes`` hashes by :func:`signatures`.
 
     Null, empty and wordless texts have no phrases and a signature of ones; a null
     id stays null; repeated rows have equal fingerprints; an empty table gives none.
@@ -95,7 +107,7 @@ def fingerprints(docs: DataFrame, hashes: int = HASHES, phrase: int = PHRASE, id
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             n, sig = signatures(b.column(1), hashes, phrase)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), binary(sig.ravel(), np.arange(len(n) + 1) * hashes)], ["doc_id", "phrases", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), binary(sig.ravel(), np.arange(len(n) + 1) * 2 * hashes)], ["doc_id", "phrases", "signature"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, phrases long, signature binary")
 
@@ -121,18 +133,16 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, hashes: int = H
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             n, sig = signatures(b.column(1), hashes, phrase)
-            to = np.arange(len(n) + 1) * hashes
-            sketch = np.maximum(sig.astype(np.uint8), 1)  # for links one byte of each hash will do
-            yield pa.RecordBatch.from_arrays([b.column(0), binary(sig.ravel(), to), binary(sketch.ravel(), to)], ["doc_id", "sig", "sketch"]).filter(pa.array(n > 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), binary(sig.ravel(), np.arange(len(n) + 1) * 2 * hashes)], ["doc_id", "sig"]).filter(pa.array(n > 0))
 
     d = texts(docs, id_col, text_col).filter("doc_id is not null")
-    base = stash(d.mapInArrow(run, "doc_id long, sig binary, sketch binary").withColumn("sid", F.xxhash64("sig")), "fingerprints")
-    sets = base.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("most"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
-    sets = stash(sets, "signatures")
-    equal = base.select(F.col("sid").alias("s"), F.col("doc_id").alias("doc_b")).join(sets.filter("most > doc").select("sid", "doc"), F.col("s") == F.col("sid")).filter("doc_b > doc").select(F.col("doc").alias("doc_a"), "doc_b", F.lit(1.0).alias("similarity")).distinct()
-    bands = F.expr(f"transform(sequence(0, {hashes // band - 1}), k -> xxhash64(k, substring(sig, k * {4 * band} + 1, {4 * band})))")
-    comps = meeting(sets.select("sid", F.explode(bands).alias("key")), sets.select("sid", "sketch"), hashes, threshold)
-    place = sets.join(comps, F.col("sid") == F.col("node")).select("comp", F.col("doc").alias("doc_id"), "sig")
+    base = stash(d.mapInArrow(run, "doc_id long, sig binary").withColumn("sid", F.xxhash64("sig")), "fingerprints")
+    own = base.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("most"))
+    equal = base.select(F.col("sid").alias("s"), F.col("doc_id").alias("doc_b")).join(own.filter("most > doc").select("sid", "doc"), F.col("s") == F.col("sid")).filter("doc_b > doc").select(F.col("doc").alias("doc_a"), "doc_b", F.lit(1.0).alias("similarity")).distinct()
+    bands = F.expr(f"transform(sequence(0, {hashes // band - 1}), k -> xxhash64(k, substring(sig, k * {band} + 1, {band}), substring(sig, {hashes} + k * {band} + 1, {band})))")
+    sets = stash(base.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "signatures")
+    comps = meeting(sets.select("sid", F.explode(bands).alias("key")), sets.select("sid", F.substring("sig", 1, hashes).alias("sketch")), hashes, threshold)
+    place = sets.join(comps.hint("merge"), F.col("sid") == F.col("node")).select("comp", F.col("doc").alias("doc_id"), "sig")
     spread = tile_pairs(tiled(place, tile, ["doc_id"], "tiles"), "doc_id", "sig")
     near = by_group(spread, ["comp", "ti", "tj"], lambda t: compare(t, hashes, threshold), "doc_a long, doc_b long, similarity double", most=2048, order=["doc_id"])
     return equal.unionByName(near)
