@@ -117,12 +117,17 @@ def fit(rows: list[str], y: np.ndarray, passes: int = 3, refine: int = 4, rate:
     row, a, b = windows(w.off)
     label = y[row]
     E = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
-    # documents that have a subword: its distinct words' documents, each once
-    own = np.unique(w.row * len(first) + same)
-    doc, word = own // len(first), own % len(first)
-    n = size[word]
-    sub = bag[np.repeat(at[word] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    known = np.bincount(np.unique(np.repeat(doc, n) * BUCKETS + sub) % BUCKETS, minlength=BUCKETS) >= LEAST
+    # documents that have a subword, in blocks of documents
+    held_by = np.zeros(BUCKETS, np.int64)
+    for lo in range(0, len(rows), 32):
+        doc = np.repeat(np.arange(lo, min(lo + 32, len(rows))), np.diff(w.off[lo : lo + 33]))
+        doc, word = np.divmod(np.unique((doc - lo) * len(first) + same[w.off[lo] : w.off[min(lo + 32, len(rows))]]), max(len(first), 1))
+        n = size[word]
+        sub = bag[np.repeat(at[word] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(n) else bag[:0]
+        seen = np.zeros((32, BUCKETS), bool)
+        seen[np.repeat(doc, n), sub] = True
+        held_by += seen.sum(0)
+    known = held_by >= LEAST
     E[~known] = 0
     W, bias = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)
     mE, mW, mb = (np.zeros_like(x) for x in (E, W, bias))
