@@ -27,9 +27,16 @@ def chunk_tokens(chunks: DataFrame, enriched: bool = True) -> DataFrame:
     return chunks.select("chunk_id", tokenize(text).alias("tokens"))
 
 
-def build(tokens: DataFrame) -> Postings:
-    """The index of ``(chunk_id, tokens)``. Term counts combine before the only large shuffle."""
-    counted = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+def build(tokens: DataFrame, wanted: DataFrame | None = None) -> Postings:
+    """The index of ``(chunk_id, tokens)``. Term counts combine before the only large shuffle.
+
+    With ``wanted(term)`` only those terms are indexed: what queries that are known beforehand need
+    doesn't shuffle all postings. The statistics of the corpus are those of all terms.
+    """
+    # an inner explode would have its input filtered by size, and so the tokens made twice
+    counted = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term")).filter("term is not null")
+    if wanted is not None:
+        counted = counted.join(wanted.select("term").distinct(), "term", "left_semi")
     postings = counted.groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.count("*")

@@ -122,33 +122,31 @@ def query_boost(cand: DataFrame, spec: DataFrame, chunks: DataFrame, allowed: Da
     a name come in although no ranking has them; ``allowed(query_id, chunk_id)`` restricts these.
     """
     q = spec.select("query_id", "names", "scale", "look", "words", "symbol")
-    top = cand.groupBy("query_id").agg(F.max("score").alias("top"))
-    rows = cand.join(top, "query_id").join(q, "query_id")
-    ratio = keyword_matches(F.col("words"), identifiers(F.col("file_path"))) / F.size("words")
-    score = F.col("score") + F.when((F.size("words") > 0) & (ratio >= RATIO_MIN), F.col("top") * STEM * ratio).otherwise(0.0)
-    rows = rows.withColumn("score", score)
     low = F.lower(stem(F.col("file_path")))
-    # contents are fetched for queries with names only
-    named = rows.filter(F.size("names") > 0).join(chunks.select("chunk_id", "content"), "chunk_id")
-    named = named.withColumn("score", F.col("score") + tier(F.col("content"), low, F.col("names"), F.col("top") * F.col("scale")))
-    plain = rows.filter(F.size("names") == 0)
-    cols = ["query_id", "chunk_id", "file_path", "score", "ord"]
-    boosted = plain.select(*cols).unionByName(named.select(*cols))
-
-    # non-candidates: files are found by the spellings of their stems, not by a scan for each query
-    wants = q.filter(F.size("look") > 0).join(top, "query_id")
+    # what names could bring in: files are found by the spellings of their stems, not by a scan for each query
     long_ = lambda s: F.octet_length(s) >= STEM_MIN
     prefixes = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda n: F.substring(s, F.lit(1), n))
     keys = F.when(F.col("symbol"), F.col("look")).otherwise(F.array_distinct(F.flatten(F.transform("look", lambda s: F.filter(prefixes(s), lambda p: (p == s) | long_(p))))))
-    want = wants.select("query_id", "names", "symbol", (F.col("top") * F.col("scale")).alias("unit"), F.explode(keys).alias("key"))
+    want = q.filter(F.size("look") > 0).select("query_id", "symbol", F.explode(keys).alias("key"))
     spelt = F.when(F.lit(True), stem_forms(low))
     stems = chunks.select("chunk_id", "file_path", F.explode(spelt).alias("key"), F.array(low, bare(low)).alias("plain"))
     fits = F.col("symbol") | F.array_contains("plain", F.col("key"))
-    found = stems.join(want, "key").filter(fits).select("query_id", "chunk_id", "file_path", "names", "unit").dropDuplicates(["query_id", "chunk_id"])
-    found = found.join(cand.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    found = stems.join(want, "key").filter(fits).select("query_id", "chunk_id", "file_path").distinct()
     if allowed is not None:
         found = found.join(allowed, ["query_id", "chunk_id"], "left_semi")
-    found = found.join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("score", tier(F.col("content"), low, F.col("names"), F.col("unit"))).filter("score <> 0")
     # after all candidates, in the order of chunks
-    injected = found.select("query_id", "chunk_id", "file_path", "score", (F.col("chunk_id") + (1 << 40)).alias("ord"))
-    return boosted.unionByName(injected)
+    found = found.withColumn("score", F.lit(None).cast("double")).withColumn("ord", F.col("chunk_id") + (1 << 40)).withColumn("new", F.lit(True))
+    # candidates go through the plan once: windows tell the best score of a query, and which chunks are new to it
+    by_query, by_pair = Window.partitionBy("query_id"), Window.partitionBy("query_id", "chunk_id")
+    rows = cand.select("query_id", "chunk_id", "file_path", "score", "ord").withColumn("new", F.lit(False)).unionByName(found)
+    rows = rows.withColumn("known", ~F.min("new").over(by_pair)).filter(~(F.col("new") & F.col("known")))
+    rows = rows.withColumn("top", F.max("score").over(by_query)).filter("top is not null").join(q, "query_id")
+    # contents are fetched for queries with names only
+    text = chunks.select(F.col("chunk_id").alias("__c"), "content")
+    rows = rows.join(text, F.when(F.size("names") > 0, F.col("chunk_id")) == F.col("__c"), "left")
+    ratio = keyword_matches(F.col("words"), identifiers(F.col("file_path"))) / F.size("words")
+    like = F.when((F.size("words") > 0) & (ratio >= RATIO_MIN), F.col("top") * STEM * ratio).otherwise(0.0)
+    worth = tier(F.col("content"), low, F.col("names"), F.col("top") * F.col("scale"))
+    rows = rows.withColumn("worth", worth).filter("not new or worth <> 0")
+    score = F.when(F.col("new"), F.col("worth")).otherwise(F.col("score") + like + F.col("worth"))
+    return rows.select("query_id", "chunk_id", "file_path", score.alias("score"), "ord")

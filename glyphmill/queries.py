@@ -33,8 +33,9 @@ def query(final: str | None = None) -> Callable:
     return add
 
 
-def _index(spark: SparkSession, sf: str) -> bm25.Postings:
-    return bm25.build(bm25.chunk_tokens(corpus.chunks(spark, sf)))
+def _index(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> bm25.Postings:
+    """The index of the corpus, or what of it the queries ``asked`` need."""
+    return bm25.build(bm25.chunk_tokens(corpus.chunks(spark, sf)), None if asked is None else bm25.query_terms(asked))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +44,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf: str, spec: DataFrame) -> DataFrame:
     near = dense.knn(corpus.vectors(spark, sf), spec.select("query_id", "v"), 25)
-    lexical = bm25.top_k(bm25.scores(_index(spark, sf), spec), 25, "bm_rank")
+    lexical = bm25.top_k(bm25.scores(_index(spark, sf, spec), spec), 25, "bm_rank")
     return fusion.candidates(fusion.blend(near, lexical, spec), corpus.chunks(spark, sf))
 
 
@@ -55,7 +56,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole of search, for a table of queries."""
     chunks = corpus.chunks(spark, sf)
-    return _rounded(search.hybrid(chunks, _index(spark, sf), corpus.vectors(spark, sf), corpus.queries(spark, sf)))
+    return _rounded(search.hybrid(chunks, _index(spark, sf, _asked(spark, sf)), corpus.vectors(spark, sf), corpus.queries(spark, sf)))
 
 
 @query("SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.v, b.v), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.vec_id)::INTEGER AS sem_rank FROM norms a, norms b QUALIFY sem_rank <= 10")
@@ -97,12 +98,12 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT query_id, chunk_id, round(score, 5) AS score FROM bm JOIN spec USING (query_id)")
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The scores of all queries and chunks that share a term."""
-    return bm25.scores(_index(spark, sf), _asked(spark, sf)).withColumn("score", F.round(F.col("score").cast("double"), 5))
+    return bm25.scores(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf)).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 
 @query("SELECT query_id, chunk_id, round(score, 5) AS score, bm_rank::INTEGER AS rank FROM bmk WHERE bm_rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.top_k(bm25.scores(_index(spark, sf), _asked(spark, sf)), 10).withColumn("score", F.round(F.col("score").cast("double"), 5))
+    return bm25.top_k(bm25.scores(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf)), 10).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 
 def _filters(q: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Filters apply before the cut, statistics stay those of all chunks."""
     q = _filters(_asked(spark, sf))
     allowed = lookup.selected(corpus.chunks(spark, sf), q)
-    kept = bm25.scores(_index(spark, sf), q).join(allowed, ["query_id", "chunk_id"], "left_semi")
+    kept = bm25.scores(_index(spark, sf, q), q).join(allowed, ["query_id", "chunk_id"], "left_semi")
     return bm25.top_k(kept, 10).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 
@@ -127,7 +128,7 @@ def filter_selector(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + bm_rank), 9) AS rrf FROM bmk")
 def rrf_rank(spark: SparkSession, sf: str) -> DataFrame:
-    top = bm25.top_k(bm25.scores(_index(spark, sf), _asked(spark, sf)), 25, "bm_rank")
+    top = bm25.top_k(bm25.scores(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf)), 25, "bm_rank")
     return fusion.rrf_rank(top.select("query_id", "chunk_id", "score")).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
