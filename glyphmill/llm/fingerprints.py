@@ -15,8 +15,8 @@ from .textvec import U, mix, row_reduce, words
 
 #: Hashes in a signature, in a band of it, and the least similarity of a pair.
 HASHES, BAND, THRESHOLD = 128, 4, 0.5
-#: Words in the shortest phrase that counts: single words say little about a text.
-PHRASE = 2
+#: Words in the shortest phrase that counts: all do, as in short texts nearly all phrases are single words.
+PHRASE = 1
 TILE = 1024
 MASK = (1 << 61) - 1
 TOP = U(0xFFFFFFFF)
