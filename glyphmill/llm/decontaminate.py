@@ -159,26 +159,50 @@ def contamination(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH,
     return d.mapInArrow(run, OUT)
 
 
+def reached(row: np.ndarray, pos: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """The words of each row's item that seeds at ``pos`` cover: the most that tiles could."""
+    order = np.lexsort((pos, row))
+    row, pos = row[order], pos[order]
+    step = np.full(len(pos), seed)
+    inside = row[1:] == row[:-1]
+    step[:-1][inside] = np.minimum(np.diff(pos)[inside], seed)
+    return np.bincount(row, step, rows).astype(np.int64)
+
+
 def by_shuffle(d: DataFrame, b: DataFrame, seed: int, coverage: float) -> DataFrame:
-    """Contamination for a benchmark of any size."""
+    """Contamination for a benchmark of any size. Texts are joined by their hashes, and each row is tiled by its own."""
 
     def seeds(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches(it):
             w = words(x.column(1))
             g, to = distinct(*grams(w.hashes, w.off, seed))
+            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(np.repeat(np.arange(x.num_rows), np.diff(to)))), pa.array(signed(g))], ["tkey", "h"])
+
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches(it):
+            w = words(x.column(1))
+            g, to = grams(w.hashes, w.off, seed)
             at = np.repeat(np.arange(x.num_rows), np.diff(to))
-            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(at)), pa.array(signed(g)), pa.array(np.diff(w.off)[at])], ["id", "h", "n"])
+            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(at)), pa.array(signed(g)), pa.array(np.arange(len(g)) - to[at]), pa.array(np.diff(w.off)[at])], ["ikey", "h", "pos", "n"])
+
+    def likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in it:
+            size, at = x.column(2).to_numpy(), x.column(3)
+            row = np.repeat(np.arange(x.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
+            most = reached(row, at.flatten().to_numpy(), x.num_rows, seed)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["tkey", "ikey"]).filter(pa.array(most >= coverage * size))
 
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches(it):
             w = words(x.column(1))
-            yield pa.RecordBatch.from_arrays([x.column(0), binary(w.hashes, w.off)], ["id", "w"])
-
-    sd = d.mapInArrow(seeds, "id long, h long, n long").select(F.col("id").alias("doc_id"), "h")
-    sb = b.mapInArrow(seeds, "id long, h long, n long").select(F.col("id").alias("item_id"), "h", "n")
-    pairs = sd.join(sb, "h").groupBy("doc_id", "item_id", "n").count().filter(F.col("count") * seed >= F.lit(coverage) * F.col("n")).select("doc_id", "item_id")
-    left, right = d.mapInArrow(hashed, "id long, w binary"), b.mapInArrow(hashed, "id long, w binary")
-    both = pairs.join(left.select(F.col("id").alias("doc_id"), F.col("w").alias("dw")), "doc_id").join(right.select(F.col("id").alias("item_id"), F.col("w").alias("iw")), "item_id")
+            yield pa.RecordBatch.from_arrays([x.column(0), binary(w.hashes, w.off), x.column(2)], ["id", "w", "key"])
+
+    d, b = (t.withColumn("key", F.xxhash64("text")) for t in (d, b))
+    sd = d.select("key", "text").mapInArrow(seeds, "tkey long, h long")
+    sb = b.select("key", "text").mapInArrow(places, "ikey long, h long, pos long, n long")
+    pairs = sd.join(sb, "h").groupBy("tkey", "ikey", "n").agg(F.collect_set("pos").alias("at")).mapInArrow(likely, "tkey long, ikey long")
+    left, right = d.mapInArrow(hashed, "id long, w binary, key long"), b.mapInArrow(hashed, "id long, w binary, key long")
+    both = pairs.join(left.select(F.col("id").alias("doc_id"), F.col("w").alias("dw"), F.col("key").alias("tkey")), "tkey").join(right.select(F.col("id").alias("item_id"), F.col("w").alias("iw"), F.col("key").alias("ikey")), "ikey")
 
     def tile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in it:

@@ -85,6 +85,16 @@ def test_the_shuffled_way_is_the_same(case):
     assert got(contamination(d, b, broadcast_chars=0)) == want
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_items_that_repeat_a_seed(spark, limit):
+    items = ["a b c d e " * 20, "x y z " * 15 + passage(80, 6), passage(81, 40), passage(82, 60)]
+    rows = [passage(83, 50) + " " + items[0] + passage(84, 50), items[1], "a b c d e " * 9, "a b c d e " * 10, items[2] + " " + items[3]]
+    d, b = docs(spark, rows), bench(spark, items).selectExpr("if(item_id = 3, 2L, item_id) AS item_id", "text")  # two items of one id
+    want = brute(list(enumerate(rows)), list(zip([0, 1, 2, 2], items)))
+    assert {(0, 0), (1, 1), (3, 0), (4, 2)} == {x[:2] for x in want} and len(want) == 5
+    assert got(contamination(d, b, broadcast_chars=limit)) == want
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_decontaminate_keeps_the_rest(case, limit):
     d, b, want = case
