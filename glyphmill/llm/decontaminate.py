@@ -201,7 +201,8 @@ def by_shuffle(d: DataFrame, b: DataFrame, seed: int, coverage: float) -> DataFr
     sd = d.select("key", "text").mapInArrow(seeds, "tkey long, h long")
     sb = b.select("key", "text").mapInArrow(places, "ikey long, h long, pos long, n long")
     pairs = sd.join(sb, "h").groupBy("tkey", "ikey", "n").agg(F.collect_set("pos").alias("at")).mapInArrow(likely, "tkey long, ikey long")
-    left, right = d.mapInArrow(hashed, "id long, w binary, key long"), b.mapInArrow(hashed, "id long, w binary, key long")
+    kind = d.schema["doc_id"].dataType.simpleString()
+    left, right = d.select("doc_id", "text", "key").mapInArrow(hashed, f"id {kind}, w binary, key long"), b.mapInArrow(hashed, "id long, w binary, key long")
     both = pairs.join(left.select(F.col("id").alias("doc_id"), F.col("w").alias("dw"), F.col("key").alias("tkey")), "tkey").join(right.select(F.col("id").alias("item_id"), F.col("w").alias("iw"), F.col("key").alias("ikey")), "ikey")
 
     def tile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,23 +218,26 @@ def by_shuffle(d: DataFrame, b: DataFrame, seed: int, coverage: float) -> DataFr
                 if found and n >= coverage * len(q):
                     out.append((doc, item, round(n / len(q), 6), len(found), n))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "coverage", "tiles", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (x.schema.field(0).type, pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "coverage", "tiles", "words"])
 
-    return both.select("doc_id", "item_id", "dw", "iw").mapInArrow(tile, OUT)
+    return both.select("doc_id", "item_id", "dw", "iw").mapInArrow(tile, OUT.replace("long", kind, 1))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark passage.
 
-    Every row is judged by its own text; with a broadcast benchmark that holds for
-    rows with a null id too, else those stay, and rows of one id go together.
+    Every row is judged by its own text, also one with a null id, whatever the size of the benchmark.
     """
     spark = docs.sparkSession
     prepare(spark)
-    index = small_index(passages(bench, item_col, item_text), min_match, broadcast_chars)
+    b = passages(bench, item_col, item_text)
+    index = small_index(b, min_match, broadcast_chars)
     if index is None:
-        bad = contamination(docs, bench, min_match, coverage, id_col, text_col, item_col, item_text, broadcast_chars).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+        # a text is known by its digest, so the ids play no part
+        digest = lambda text: F.unhex(F.sha2(text, 256))
+        d = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).distinct()
+        bad = by_shuffle(d.select(digest(F.col("text")).alias("doc_id"), "text"), b, min_match, coverage).select(F.col("doc_id").alias("__bad")).distinct()
+        return docs.join(bad, digest(docs[text_col].cast("string")) == bad["__bad"], "left_anti")
     shared = spark.sparkContext.broadcast(index)
     at = docs.columns.index(text_col)
 

@@ -102,6 +102,14 @@ def test_decontaminate_keeps_the_rest(case, limit):
     assert kept == set(range(10)) - {x[0] for x in want}
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_decontaminate_judges_rows_by_their_text(spark, limit):
+    item, clean = passage(90, 40), passage(91, 40)
+    d = spark.createDataFrame([(1, clean), (1, item), (None, item), (None, clean), (2, clean), (None, None), (3, None)], "doc_id long, text string")
+    out = decontaminate(d, bench(spark, [item]), broadcast_chars=limit).collect()
+    assert sorted(map(str, out)) == sorted(str(r) for r in d.collect() if r.text != item)
+
+
 def test_awkward_rows(spark):
     df, b = awkward(spark), bench(spark, [passage(1, 120), None, "", passage(7, 30)])
     assert {r[0] for r in got(contamination(df, b))} == {1, 2}
