@@ -14,6 +14,7 @@ from glyphmill.session import ship
 
 CHUNK, SHORT, DEEP = 750, 50, 500
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+")
+LINE_BYTES = re.compile(LINE.pattern.encode())
 Span = tuple[int, int]
 
 
@@ -67,6 +68,26 @@ def node_spans(node: Node, most: int = CHUNK, depth: int = 0) -> list[Span]:
     return out
 
 
+def filled(spans: list[Span], data: bytes) -> list[Span]:
+    """The spans, with all text between them but white space: the rest of a span's line goes with it, each other line is a span."""
+    out: list[Span] = []
+    at = 0
+    for a, b in [*spans, (len(data), len(data))]:
+        for m in LINE_BYTES.finditer(data, at, max(at, a)):
+            line = m.group()
+            if not line.strip():
+                continue
+            end = m.start() + len(line.rstrip())
+            if out and m.start() == at:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((m.end() - len(line.lstrip()), end))
+        if b > a:
+            out.append((a, b))
+        at = max(at, b)
+    return out
+
+
 def python_tree(text: str) -> Node | None:
     """The statements of Python source as a tree over its bytes; None if it can't be parsed."""
     try:
@@ -100,7 +121,7 @@ def is_supported(language: str | None) -> bool:
 
 
 def tree_spans(text: str, language: str, most: int = CHUNK) -> list[Span] | None:
-    """Spans of characters by syntax; None without a parser or a tree."""
+    """Spans of characters by syntax, with comments and all else between statements; None without a parser or a tree."""
     if not text.strip():
         return []
     tree = PARSERS[language](text) if language in PARSERS else None
@@ -108,7 +129,7 @@ def tree_spans(text: str, language: str, most: int = CHUNK) -> list[Span] | None
         return None
     data = text.encode()
     char = lambda b: len(data[: min(max(b, 0), len(data))].decode("utf-8", "ignore"))
-    return [(char(a), char(b)) for a, b in pack(node_spans(tree, most), most)]
+    return [(char(a), char(b)) for a, b in pack(filled(node_spans(tree, most), data), most)]
 
 
 def chunk_source(text: str, path: str, language: str | None, most: int = CHUNK) -> Iterator[tuple[str, str, int, int, str | None]]:

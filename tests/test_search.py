@@ -171,6 +171,20 @@ def test_chunking():
     assert list(chunking.chunk_source("def broken(:\n", "a.py", "python"))[0][2:4] == (1, 1)
 
 
+def test_chunks_hold_every_line_of_python():
+    body = lambda n, k: "".join(f"{' ' * n}v{k}_{j} = {j}  # é {j}\n" for j in range(40))
+    code = "# Licence\n" + "".join(f"# clause {k} of the licence of this file\n" for k in range(60)) + "\nimport os; import sys;  # both\n\n# before f\n@staticmethod\ndef f(x):\n" + body(4, "f")
+    code += "\n\n# before the branch\nif os:\n" + body(4, "a") + "    # within\nelif sys:\n" + body(4, "b") + "else:\n" + body(4, "c")
+    code += "try:\n" + body(4, "t") + "except OSError:\n" + body(4, "e") + "else:\n" + body(4, "n") + "finally:\n" + body(4, "z") + "\n# the end\n"
+    for text in (code, code.replace("\n", "\r\n"), code.rstrip() + "\n# no line feed"):
+        parts = list(chunking.chunk_source(text, "a.py", "python"))
+        assert len(parts) > 5 and all(len(c[0]) < 2500 for c in parts)
+        assert "".join("".join(c[0] for c in parts).split()) == "".join(text.split())
+        lines = text.split("\n")
+        for content, _, first, last, _ in parts:
+            assert all(x.strip() in lines[first - 1 + k] for k, x in enumerate(content.split("\n"))) and content.count("\n") == last - first
+
+
 def test_chunk_files(spark):
     f = spark.createDataFrame([("a.txt", "one\ntwo\n", None), ("b.py", None, "python")], "file_path string, text string, language string")
     assert [(r.file_path, r.start_line, r.end_line) for r in chunking.chunk_files(f).collect()] == [("a.txt", 1, 2)]
