@@ -49,12 +49,43 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write a work table and read it back: cuts lineage and survives lost executors."""
+    """Write a work table and read it back: cuts lineage and survives lost executors.
+
+    The table goes when the driver ends, or at once by :func:`discard`.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/glyphmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, there = _file_system(spark, path)
+    fs.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._glyphmill_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that nothing reads any more."""
+    for t in tables:
+        fs, there = _file_system(t.sparkSession, t._glyphmill_path)
+        fs.delete(there, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -97,6 +128,8 @@ def buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def binary(parts: np.ndarray, off: np.ndarray) -> pa.Array:
     """A binary array whose rows are ``parts[off[i]:off[i+1]]`` as raw bytes."""
     parts = np.ascontiguousarray(parts)
+    if len(off) and int(off[-1]) * parts.itemsize > 2**31 - 1:
+        raise ValueError("more than 2 GiB in one batch")
     o = (off * parts.itemsize).astype(np.int32)
     return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(o), pa.py_buffer(parts)])
 
