@@ -9,93 +9,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import meeting, tile_pairs, tiled
-from .common import batches, binary, by_group, prepare, stash, texts, unbinary
+from .blocks import classes, found_links, meeting, tiled
+from .common import batches, binary, prepare, stash, texts, unbinary
 from .textvec import U, mix, row_reduce, words
 
-#: Hashes in a signature, in a band of it, and the least similarity of a pair.
-HASHES, BAND, THRESHOLD = 128, 4, 0.5
-#: Words in the shortest phrase that counts: all do, as in short texts nearly all phrases are single words.
-PHRASE = 1
+#: Hashes in a signature, in a band of it, and the least similarity of a link.
+HASHES, BAND, THRESHOLD = 128, 3, 0.5
 TILE = 1024
 MASK = (1 << 61) - 1
 TOP = U(0xFFFFFFFF)
 
 
-def phrases(symbols: list[int], least: int = PHRASE) -> list[int]:
+def phrases(symbols: list[int]) -> list[int]:
     """Hashes of the phrases of the LZ78 parse: each is a known one and one more symbol.
 
-    A rest at the end that is a known phrase adds nothing. Phrases of fewer than ``least`` symbols
-    are left out, unless there are no others.
+    A rest at the end that is a known phrase adds nothing.
     """
     known: set[int] = set()
     add = known.add
-    out, short = [], []
-    node = size = 0
+    out = []
+    node = 0
     for s in symbols:
         node = (node * 0x9E3779B97F4A7C1 + s + 1) & MASK
-        size += 1
         if node not in known:
             add(node)
-            (out if size >= least else short).append(node)
-            node = size = 0
-    return out or short
+            out.append(node)
+            node = 0
+    return out
 
 
-def signatures(arr: pa.Array, hashes: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(arr: pa.Array, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of phrases, signature) of each text, with words as symbols.
 
-    A signature has the last 16 bits of every minimum, in two planes: first all low bytes,
-    0 taken as 1, then all high bytes. So its first half is a sketch, of which 0 is no byte.
+    A signature has the 32 bits of every minimum in four planes of bytes, the lowest
+    first, 0 taken as 1 in that one. So its first plane is a sketch, of which 0 is no byte.
     """
     w = words(arr)
     symbols = (w.hashes >> U(3)).tolist()
-    parts = [phrases(symbols[a:b], least) for a, b in zip(w.off, w.off[1:])]
+    parts = [phrases(symbols[a:b]) for a, b in zip(w.off, w.off[1:])]
     n = np.array([len(p) for p in parts], np.int64)
     to = np.concatenate([[0], np.cumsum(n)])
     flat = mix(np.fromiter((x for p in parts for x in p), U, int(to[-1])))
-    sig = np.empty((len(arr), 2 * hashes), np.uint8)
+    sig = np.empty((len(arr), 4 * hashes), np.uint8)
     for k in range(hashes):
         m = flat * U((0xD1342543DE82EF95 * (2 * k + 1) ^ 0x5851F42D4C957F2C) & (1 << 64) - 1 | 1)
         low = row_reduce(np.minimum, m >> U(32), to, TOP)
         sig[:, k] = np.maximum((low & U(0xFF)).astype(np.uint8), 1)
-        sig[:, hashes + k] = (low >> U(8) & U(0xFF)).astype(np.uint8)
+        for plane in (1, 2, 3):
+            sig[:, plane * hashes + k] = (low >> U(8 * plane) & U(0xFF)).astype(np.uint8)
     return n, sig
 
 
 def joined(sig: np.ndarray) -> np.ndarray:
-    """The two planes of signatures as one array of 16-bit numbers."""
-    half = sig.shape[1] // 2
-    return sig[:, :half].astype(np.uint16) | sig[:, half:].astype(np.uint16) << 8
-
-
-def compare(t: pa.Table, hashes: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of every tile pair in the table, by counting equal hashes."""
-    comp, ti, tj, side, doc = (t.column(c).to_numpy() for c in ("comp", "ti", "tj", "side", "doc_id"))
-    flat, _ = unbinary(t.column("sig").combine_chunks() if t.column("sig").num_chunks != 1 else t.column("sig").chunk(0), np.uint8)
-    sig = joined(flat.reshape(-1, 2 * hashes))
-    cut = np.flatnonzero((np.diff(comp) != 0) | (np.diff(ti) != 0) | (np.diff(tj) != 0)) + 1
-    got = []
-    for a, b in zip(np.r_[0, cut], np.r_[cut, len(comp)]):
-        one = ti[a] == tj[a]
-        left = np.arange(a, b) if one else a + np.flatnonzero(side[a:b] == 0)
-        right = left if one else a + np.flatnonzero(side[a:b] == 1)
-        if not len(left) or not len(right):
-            continue
-        r = np.ascontiguousarray(sig[right])
-        for k, x in enumerate(left):
-            own = r[k + 1 :] if one else r
-            same = (own == sig[x]).sum(1)
-            for y in np.flatnonzero(same >= threshold * hashes - 1e-9):
-                p, q = int(doc[x]), int(doc[right[y + k + 1 if one else y]])
-                if p != q:
-                    got.append((min(p, q), max(p, q), round(int(same[y]) / hashes, 6)))
-    if got:
-        p, q, s = zip(*got)
-        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(s)], ["doc_a", "doc_b", "similarity"])
-
-
-def fingerprints(docs: DataFrame, hashes: int = HASHES, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The planes of signatures as one array of 32-bit numbers."""
+    own = sig.reshape(len(sig), 4, -1).astype(np.uint32)
+    return own[:, 0] | own[:, 1] << 8 | own[:, 2] << 16 | own[:, 3] << 24
+
+
+def agreeing(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a left and a right row that agree in ``least`` places, each once; the same rows on both sides are paired within."""
+    within = left is right
+    r = np.ascontiguousarray(sig[right])
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, x in enumerate(left):
+        own = r[k + 1 :] if within else r
+        y = np.flatnonzero((own == sig[x]).sum(1) >= least - 1e-9)
+        xs.append(np.full(len(y), x))
+        ys.append(right[y + k + 1 if within else y])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def fingerprints(docs: DataFrame, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, phrases, signature)`` of every row: the number of phrases, and the minima of ``hashes`` hashes by :func:`signatures`.
 
     Null, empty and wordless texts have no phrases and a signature of ones; a null
@@ -106,43 +90,50 @@ def fingerprints(docs: DataFrame, hashes: int = HASHES, phrase: int = PHRASE, id
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            n, sig = signatures(b.column(1), hashes, phrase)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), binary(sig.ravel(), np.arange(len(n) + 1) * 2 * hashes)], ["doc_id", "phrases", "signature"])
+            n, sig = signatures(b.column(1), hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), binary(sig.ravel(), np.arange(len(n) + 1) * 4 * hashes)], ["doc_id", "phrases", "signature"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, phrases long, signature binary")
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES, band: int = BAND, phrase: int = PHRASE, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_a, doc_b, similarity)``, ``doc_a < doc_b``, of documents whose signatures agree in a share of ``threshold``.
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES, band: int = BAND, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, class_id, links)`` of every document: its class of similar documents, and how many it is similar to.
 
-    Documents with equal signatures are one: the least id stands for them in pairs
-    with others, and each of the rest has one pair with it, of similarity 1.
+    Documents are similar if their signatures agree in a share of ``threshold``. A class is what
+    links connect, directly or through others; ``class_id`` is the least id in it. ``links`` counts
+    all other documents that are similar to this one, each copy too, but copies are not expanded into pairs.
 
     Every document is a query. Signatures can only be compared if they agree in one of
-    ``hashes / band`` bands, directly or through others; with similarity s that
-    fails with probability ``(1 - s ** band) ** (hashes / band)`` at most: 13 % just at
-    0.5, 1 % at 0.6 and 0.02 % at 0.7. Signatures that meet are one component, in which all are
-    compared, in tiles of ``tile``.
-
-    Texts without words, null and empty ones match nothing; rows with a null id are left
-    out; rows of one id never match each other, and repeated rows count once;
-    an empty table gives no rows.
+    ``hashes // band`` bands, directly or through others; with similarity s that
+    fails with probability ``(1 - s ** band) ** (hashes // band)`` at most: 0.4 % just at
+    0.5, 0.002 % at 0.6. Signatures that meet are one component, in which all are
+    compared, in pairs of tiles of about ``tile``.
+
+    Texts without words, null and empty ones are a class of their own without links; rows with a null id are left
+    out; repeated rows count once, and different texts under one id are documents of their own, with
+    a row each; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            n, sig = signatures(b.column(1), hashes, phrase)
-            yield pa.RecordBatch.from_arrays([b.column(0), binary(sig.ravel(), np.arange(len(n) + 1) * 2 * hashes)], ["doc_id", "sig"]).filter(pa.array(n > 0))
+            n, sig = signatures(b.column(1), hashes)
+            col = binary(sig.ravel(), np.arange(len(n) + 1) * 4 * hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), col], ["doc_id", "n", "sig"])
 
     d = texts(docs, id_col, text_col).filter("doc_id is not null")
-    base = stash(d.mapInArrow(run, "doc_id long, sig binary").withColumn("sid", F.xxhash64("sig")), "fingerprints")
-    own = base.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("most"))
-    equal = base.select(F.col("sid").alias("s"), F.col("doc_id").alias("doc_b")).join(own.filter("most > doc").select("sid", "doc"), F.col("s") == F.col("sid")).filter("doc_b > doc").select(F.col("doc").alias("doc_a"), "doc_b", F.lit(1.0).alias("similarity")).distinct()
-    bands = F.expr(f"transform(sequence(0, {hashes // band - 1}), k -> xxhash64(k, substring(sig, k * {band} + 1, {band}), substring(sig, {hashes} + k * {band} + 1, {band})))")
-    sets = stash(base.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "signatures")
-    comps = meeting(sets.select("sid", F.explode(bands).alias("key")), sets.select("sid", F.substring("sig", 1, hashes).alias("sketch")), hashes, threshold)
-    place = sets.join(comps.hint("merge"), F.col("sid") == F.col("node")).select("comp", F.col("doc").alias("doc_id"), "sig")
-    spread = tile_pairs(tiled(place, tile, ["doc_id"], "tiles"), "doc_id", "sig")
-    near = by_group(spread, ["comp", "ti", "tj"], lambda t: compare(t, hashes, threshold), "doc_a long, doc_b long, similarity double", most=2048, order=["doc_id"])
-    return equal.unionByName(near)
+    base = stash(d.mapInArrow(run, "doc_id long, n long, sig binary").select("doc_id", F.when(F.col("n") > 0, F.xxhash64("sig")).alias("sid"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")), "fingerprints")
+    own = base.filter("sid is not null")
+    count = own.select("sid", "doc_id").distinct().groupBy("sid").agg(F.count("*").alias("w"))
+    sets = stash(own.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).join(count, "sid").select("sid", "doc_id", "w", "sig"), "signatures")
+    part = ", ".join(f"substring(sig, {plane * hashes} + k * {band} + 1, {band})" for plane in range(4))
+    bands = F.expr(f"transform(sequence(0, {hashes // band - 1}), k -> xxhash64(k, {part}))")
+    comps = meeting(sets.select("sid", bands.alias("keys"), F.substring("sig", 1, hashes).alias("sketch")), hashes, threshold)
+    place = sets.join(comps.hint("merge"), F.col("sid") == F.col("node")).select("comp", "sid", "w", "sig")
+
+    def hits(t: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, _ = unbinary(t.column("sig").combine_chunks() if t.column("sig").num_chunks != 1 else t.column("sig").chunk(0), np.uint8)
+        return agreeing(joined(flat.reshape(-1, 4 * hashes)), left, right, threshold * hashes)
+
+    found = stash(found_links(tiled(place, tile), "sig", hits, most=2048), "found")
+    return classes(base.select("doc_id", "sid"), sets.select("sid", "doc_id", "w"), found)

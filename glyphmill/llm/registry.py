@@ -17,10 +17,10 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_lz_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of documents with similar fingerprints."""
-    from .fingerprints import similar_pairs
+    """Every document's class of similar fingerprints."""
+    from .fingerprints import similar_classes
 
-    return similar_pairs(table(spark, sf, "documents"))
+    return similar_classes(table(spark, sf, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,9 +45,10 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    from .ngram_join import similar_pairs
+    """Every document's class of similar n-gram sets."""
+    from .ngram_join import similar_classes
 
-    return similar_pairs(table(spark, sf, "documents"))
+    return similar_classes(table(spark, sf, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
