@@ -4,7 +4,9 @@ A passage is a run of at least LENGTH words that occurs at two places or more.
 The transform needs its texts in one place, so fragments that could share a
 passage are brought together first: every window of LENGTH words is represented
 by its least GRAM-gram, and windows with one representative, of all documents, go
-together. Equal windows have equal representatives, so none is missed.
+together. Equal windows have equal representatives, so none is missed. A representative
+with very many fragments is cut into parts, a transform for each; what the parts
+hold is then matched by the windows' hashes, counted without bringing them together.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import batches, binary, by_group, prepare, stash, texts, unbinary
 from .textvec import U, grams, mix, signed, words
 
 LENGTH, GRAM = 50, 20
-#: Words of fragments that one transform is built over, unless one group alone has more.
+#: Words of fragments that one transform is built over, about.
 CHUNK = 1 << 19
 
 
@@ -138,8 +140,12 @@ def repeated(s: np.ndarray, bound: int) -> np.ndarray:
 
 
 def find(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """(fragment, first, last): runs of windows of the fragments that occur more than once."""
-    anchor, frag, n = (t.column(c).to_numpy() for c in ("anchor", "frag", "n"))
+    """(fragment, first, last, null): runs of windows of the fragments that occur more than once.
+
+    Of a fragment whose representative has several parts, (fragment, window, window, hash) for
+    the windows that are alone in this part; and (null, null, null, hash) once for each one found here.
+    """
+    frag, n, parts = (t.column(c).to_numpy() for c in ("frag", "n", "parts"))
     flat, off = unbinary(pa.chunked_array(t.column("grams").chunks).combine_chunks(), np.uint32)
     size = np.diff(off)
     # a closing symbol of its own ends every fragment
@@ -153,12 +159,23 @@ def find(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     rep[~inner] = False
     many = np.repeat(n > 1, size + 1)  # a fragment that several places have is repeated as a whole
     left = np.repeat(to[1:], size + 1) - 1 - np.arange(len(s))
-    hit = np.flatnonzero((rep | many) & (left >= length))
+    window = left >= length
+    hit = np.flatnonzero((rep | many) & window)
     f = np.searchsorted(to, hit, side="right") - 1
     at = (hit - to[f]).astype(np.int32)
     cut = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (at[1:] != at[:-1] + 1)]) if len(f) else f
     last = np.r_[cut[1:] - 1, len(f) - 1] if len(f) else f
-    yield pa.RecordBatch.from_arrays([pa.array(frag[f[cut]]), pa.array(at[cut]), pa.array(at[last])], ["frag", "a", "b"])
+    names = ["frag", "a", "b", "h"]
+    yield pa.RecordBatch.from_arrays([pa.array(frag[f[cut]]), pa.array(at[cut]), pa.array(at[last]), pa.nulls(len(cut), pa.int64())], names)
+    open_ = np.flatnonzero(window & np.repeat(parts > 1, size + 1))
+    if len(open_):
+        f = np.searchsorted(to, open_, side="right") - 1
+        h = signed(grams(mix(s.astype(U)), np.array([0, len(s)]), length)[0][open_])
+        done = (rep | many)[open_]
+        at = (open_ - to[f]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x[~done]) for x in (frag[f], at, at, h)], names)
+        known = np.unique(h[done])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(known), pa.int64()), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.int32()), pa.array(known)], names)
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +187,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, c
 
     Steps: (1) the runs of windows with one anchor, and anchors at more than one place;
     (2) of these the distinct fragments only; (3) for those that share an anchor one
-    transform, and the repeated windows by its bounded common prefixes; (4) back
+    transform, or for every ``chunk`` words of them, and the repeated windows by its bounded common prefixes; where an anchor
+    has several transforms, the windows that one holds once are matched with the others' by hash; (4) back
     to the documents. Texts with fewer words than ``length``, null and empty ones have no
     passages; rows with a null id are left out; rows of equal id and text are one place,
     texts that differ under one id are places of their own; an empty table gives none.
@@ -193,9 +211,13 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, c
     place = F.xxhash64("doc", "start")
     shared = marks.select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("p"), F.max("p").alias("q")).filter("p <> q").select("anchor")
     live = stash(marks.join(shared, "anchor", "left_semi").distinct(), "fragments")
-    frags = live.groupBy("anchor", "frag").agg(F.min(F.struct("doc", "start", "windows")).alias("one"), F.count("*").alias("n"))
+    frags = stash(live.groupBy("anchor", "frag").agg(F.min(F.struct("doc", "start", "windows")).alias("one"), F.count("*").alias("n")), "distinct-fragments")
+    # a hot anchor's fragments go to several parts
+    most = max(1, chunk // (length + 12))
+    hot = frags.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > most).select(F.col("anchor").alias("of_anchor"), F.ceil(F.col("c") / most).cast("int").alias("p"))
+    split = frags.join(hot, F.col("anchor") == F.col("of_anchor"), "left").withColumn("parts", F.coalesce("p", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("frag"), F.col("parts")).cast("int"))
     # the fragments' words, each from one of its places
-    wanted = frags.select(F.col("one.doc").alias("of"), F.struct("anchor", "frag", F.least("n", F.lit(2)).cast("int").alias("n"), F.col("one.start").alias("start"), F.col("one.windows").alias("windows")).alias("w")).groupBy("of").agg(F.collect_list("w").alias("want"))
+    wanted = split.select(F.col("one.doc").alias("of"), F.struct("anchor", "part", "parts", "frag", F.least("n", F.lit(2)).cast("int").alias("n"), F.col("one.start").alias("start"), F.col("one.windows").alias("windows")).alias("w")).groupBy("of").agg(F.collect_list("w").alias("want"))
     near = d.select("text", "doc").join(wanted, F.col("doc") == F.col("of")).select("text", "want")
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +226,19 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, c
             want = b.column(1)
             flat = want.flatten()
             row = np.repeat(np.arange(b.num_rows), want.value_lengths().to_numpy())
-            col = {k: flat.field(k) for k in ("anchor", "frag", "n", "start", "windows")}
+            col = {k: flat.field(k) for k in ("anchor", "part", "parts", "frag", "n", "start", "windows")}
             size = col["windows"].to_numpy().astype(np.int64) + length - 1
             a = w.off[row] + col["start"].to_numpy()
             to = np.concatenate([[0], np.cumsum(size)])
             idx = np.repeat(a - to[:-1], size) + np.arange(to[-1])
-            yield pa.RecordBatch.from_arrays([col["anchor"], col["frag"], col["n"], binary((w.hashes[idx] >> U(32)).astype(np.uint32), to)], ["anchor", "frag", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([col["anchor"], col["part"], col["parts"], col["frag"], col["n"], binary((w.hashes[idx] >> U(32)).astype(np.uint32), to)], ["anchor", "part", "parts", "frag", "n", "grams"])
 
-    content = near.mapInArrow(fetch, "anchor long, frag long, n int, grams binary")
-    found = by_group(content, ["anchor"], lambda t: find(t, length), "frag long, a int, b int", most=chunk // (length + 12), order=["frag"])
+    content = near.mapInArrow(fetch, "anchor long, part int, parts int, frag long, n int, grams binary")
+    runs_found = stash(by_group(content, ["anchor", "part"], lambda t: find(t, length), "frag long, a int, b int, h long", most=most, order=["frag"]), "runs")
+    alone = runs_found.filter("h is not null")
+    twice = alone.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("h").alias("of_h"))
+    across = alone.filter("frag is not null").join(twice, F.col("h") == F.col("of_h")).select("frag", "a", "b")
+    found = runs_found.filter("h is null").select("frag", "a", "b").union(across)
     hits = live.select("frag", "doc", "start").join(found, "frag").select("doc", (F.col("start") + F.col("a")).alias("first"), (F.col("start") + F.col("b")).alias("last"))
     w = Window.partitionBy("doc").orderBy("first", "last")
     # a run of windows joins those before it if it starts inside or right after them

@@ -92,3 +92,14 @@ def test_two_texts_under_one_id(spark):
     p = passage(3, 60)
     df = spark.createDataFrame([(1, p), (1, "more " + p), (2, passage(4, 60))], "doc_id long, text string")
     assert got(repeated_passages(df)) == [(1, 0, 59), (1, 1, 60)]
+
+
+def test_a_hot_anchor_in_parts(spark):
+    """One passage in very many documents, with other words around it each time, and in part only in some."""
+    p = passage(9, 70).split()
+    r = lambda k, n: passage(300 + k, n).split()
+    rows = [" ".join(r(2 * k, 40) + (p if k % 4 else p[:58] if k % 8 else p[5:]) + r(2 * k + 1, 40)) for k in range(60)]
+    want = brute(list(enumerate(rows)), 50)
+    assert len({x[0] for x in want}) == 60 and len({x[2] - x[1] for x in want}) > 2
+    for chunk in (1 << 19, 500):
+        assert got(repeated_passages(docs(spark, rows), chunk=chunk)) == want
