@@ -210,18 +210,34 @@ def fit(rows: list[str], y: np.ndarray, passes: int = 3, refine: int = 4, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", most_bytes: int = 64 << 20) -> Model:
-    """Fit on at most ``sample`` labelled documents and ``most_bytes`` of whole texts."""
-    prepare(docs.sparkSession)
-    few = docs.sparkSession.createDataFrame([(r.label_id, r.y) for r in labelled(labels, label_col, sample, label_id).collect()], "label_id long, y int")
-    d = texts(docs, id_col, text_col)
+    """Fit on at most ``sample`` labelled documents and ``most_bytes`` of whole texts.
+
+    Documents are taken in the order of a hash of their id; one whose text doesn't fit into what is left of
+    the bytes is passed over. Their sizes come to the driver first, and then only the texts that are taken.
+    If there are labels of both kinds, but not one text of each fits, that is an error. Null and empty texts,
+    null ids and labels, and ids with labels of both kinds are left out; repeated rows count once; texts that differ under one id are documents
+    of their own. Without labels of both kinds the model scores 0.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    few = spark.createDataFrame([(r.label_id, r.y) for r in labelled(labels, label_col, sample, label_id).collect()], "label_id long, y int")
+    d = texts(docs, id_col, text_col).filter("text <> ''")
     # at most ``sample`` rows of 12 bytes
-    own = d.join(F.broadcast(few), d["doc_id"] == few["label_id"]).select("doc_id", "text", "y").distinct()
-    got, size = [], 0
-    for r in sorted(own.collect()):
-        size += len(r.text)
-        if size > most_bytes:
-            break
-        got.append(r)
+    own = d.join(F.broadcast(few), d["doc_id"] == few["label_id"]).select("doc_id", "y", F.xxhash64("text").alias("tkey"), "text")
+    place = F.xxhash64("doc_id", F.lit(11))
+    # one id may have any number of texts, so the sizes are bounded once more
+    sizes = own.select("doc_id", "y", "tkey", F.octet_length("text").alias("size"), place.alias("o")).distinct().orderBy("o", "doc_id", "tkey").limit(sample).collect()
+    taken, left = [], most_bytes
+    for r in sizes:
+        if r["size"] <= left:
+            taken.append((r.doc_id, r.tkey))
+            left -= r["size"]
+    kinds = {(r.doc_id, r.tkey): r.y for r in sizes}
+    if len(set(kinds.values())) == 2 and len({kinds[t] for t in taken}) < 2:
+        raise ValueError(f"texts of both labels don't fit into {most_bytes} bytes")
+    some = spark.createDataFrame(taken, "taken_id long, taken_key long")
+    got = own.join(F.broadcast(some), (own["doc_id"] == some["taken_id"]) & (own["tkey"] == some["taken_key"])).select("doc_id", "tkey", "y", "text").distinct().collect()
+    got.sort(key=lambda r: (r.doc_id, r.tkey))
     return fit([r.text for r in got], np.array([r.y for r in got], np.int64))
 
 

@@ -69,6 +69,18 @@ def test_awkward_rows(spark):
     assert score_toxicity(empty(spark), train(empty(spark), lab.limit(0))).count() == 0
 
 
+def test_the_bound_on_bytes(spark):
+    """What doesn't fit is passed over, whatever its id, and nothing larger than the bound comes to the driver."""
+    rows, y = sample(120, 4)
+    rows = [" ".join(rows) * 3] + rows
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, int(v)) for k, v in enumerate([1, *y])], "doc_id long, toxic int")
+    m = train(df, lab, most_bytes=100_000)
+    assert len(m.weight) and m.score(pa.array([" ".join(BAD * 2)]))[0] >= 0.5
+    with pytest.raises(ValueError):
+        train(df, lab, most_bytes=100)
+
+
 def test_held_out_on_the_tables(spark):
     import __spark_entry__ as entry
 
