@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, prepare, stash
+from .common import by_group, discard, prepare, stash, unused
 
 LEAF, FAN = 1 << 14, 64
 ONE, TINY = 1 - 1e-9, 1e-9
@@ -139,11 +139,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that :func:`mix_sources` takes, with all their columns and ``copies``.
 
-    A column ``copies`` that the documents have is replaced. Rows with a null id
-    can't be drawn: they stay, once each.
+    A column ``copies`` that the documents have is replaced; others may have any name. Rows with a null id
+    can't be drawn: they stay, once each. Null and empty texts, null sources, repeated rows and empty tables are as in
+    :func:`mix_sources`.
     """
-    got = mix_sources(docs, weights, temperature, budget, seed, id_col, text_col, source_col).select(F.col("doc_id").alias("__qd"), F.col("source").alias("__qs"), F.col("copies").alias("__qn")).distinct()
     own = docs.drop("copies")
-    on = (own[id_col].cast("long") == got["__qd"]) & own[source_col].cast("string").eqNullSafe(got["__qs"])
-    out = own.join(got.hint("merge"), on, "left").withColumn("copies", F.when(own[id_col].isNull(), F.lit(1)).otherwise(F.col("__qn")).cast("long"))
-    return out.drop("__qd", "__qs", "__qn").filter("copies > 0")
+    qd, qs, qn = unused(own, "drawn_id", "drawn_source", "drawn_copies")
+    got = mix_sources(docs, weights, temperature, budget, seed, id_col, text_col, source_col).select(F.col("doc_id").alias(qd), F.col("source").alias(qs), F.col("copies").alias(qn)).distinct()
+    on = (own[id_col].cast("long") == got[qd]) & own[source_col].cast("string").eqNullSafe(got[qs])
+    out = own.join(got.hint("merge"), on, "left").withColumn("copies", F.when(own[id_col].isNull(), F.lit(1)).otherwise(F.col(qn)).cast("long"))
+    return out.drop(qd, qs, qn).filter("copies > 0")
