@@ -13,8 +13,9 @@ from .blocks import classes, found_links, meeting, tiled
 from .common import batches, binary, prepare, stash, texts, unbinary
 from .textvec import U, mix, row_reduce, words
 
-#: Hashes in a signature, in a band of it, and the least similarity of a link.
-HASHES, BAND, THRESHOLD = 128, 3, 0.5
+#: Hashes in a signature, the least similarity of a link, and the bands of a signature with the hashes in each.
+HASHES, THRESHOLD = 128, 0.5
+BANDS, BAND = 80, 4
 TILE = 1024
 MASK = (1 << 61) - 1
 TOP = U(0xFFFFFFFF)
@@ -66,6 +67,22 @@ def joined(sig: np.ndarray) -> np.ndarray:
     return own[:, 0] | own[:, 1] << 8 | own[:, 2] << 16 | own[:, 3] << 24
 
 
+def band_keys(sig: np.ndarray, bands: int, band: int) -> np.ndarray:
+    """The key of every band of signatures of 32-bit numbers. Bands go through all hashes, then again in other orders."""
+    n = sig.shape[1]
+    walks = [(np.arange(n) * step + (step > 1)) % n for step in (1, 2 * n // 5 | 1, 2 * n // 7 | 1, 2 * n // 9 | 1)]
+    order = np.concatenate([w[: n // band * band] for w in walks]).reshape(-1, band)
+    if bands > len(order):
+        raise ValueError(f"at most {len(order)} bands")
+    out = np.empty((len(sig), bands), np.int64)
+    for k in range(bands):
+        h = np.full(len(sig), U(k + 1))
+        for p in order[k]:
+            h = mix(h * U(0x9FB21C651E98DF25) + sig[:, p].astype(U))
+        out[:, k] = h.view(np.int64)
+    return out
+
+
 def agreeing(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a left and a right row that agree in ``least`` places, each once; the same rows on both sides are paired within."""
     within = left is right
@@ -96,7 +113,7 @@ def fingerprints(docs: DataFrame, hashes: int = HASHES, id_col: str = "doc_id",
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, phrases long, signature binary")
 
 
-def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES, band: int = BAND, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES, bands: int = BANDS, band: int = BAND, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, class_id, links)`` of every document: its class of similar documents, and how many it is similar to.
 
     Documents are similar if their signatures agree in a share of ``threshold``. A class is what
@@ -104,8 +121,8 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, hashes: int =
     all other documents that are similar to this one, each copy too, but copies are not expanded into pairs.
 
     Every document is a query. Signatures can only be compared if they agree in one of
-    ``hashes // band`` bands, directly or through others; with similarity s that
-    fails with probability ``(1 - s ** band) ** (hashes // band)`` at most: 0.4 % just at
+    ``bands`` bands, directly or through others; with similarity s that
+    fails with probability ``(1 - s ** band) ** bands`` or so: 0.3 % just at
     0.5, 0.002 % at 0.6. Signatures that meet are one component, in which all are
     compared, in pairs of tiles of about ``tile``.
 
@@ -124,16 +141,23 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, hashes: int =
     d = texts(docs, id_col, text_col).filter("doc_id is not null")
     base = stash(d.mapInArrow(run, "doc_id long, n long, sig binary").select("doc_id", F.when(F.col("n") > 0, F.xxhash64("sig")).alias("sid"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")), "fingerprints")
     own = base.filter("sid is not null")
-    count = own.select("sid", "doc_id").distinct().groupBy("sid").agg(F.count("*").alias("w"))
-    sets = stash(own.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).join(count, "sid").select("sid", "doc_id", "w", "sig"), "signatures")
-    part = ", ".join(f"substring(sig, {plane * hashes} + k * {band} + 1, {band})" for plane in range(4))
-    bands = F.expr(f"transform(sequence(0, {hashes // band - 1}), k -> xxhash64(k, {part}))")
-    comps = meeting(sets.select("sid", bands.alias("keys"), F.substring("sig", 1, hashes).alias("sketch")), hashes, threshold)
-    place = sets.join(comps.hint("merge"), F.col("sid") == F.col("node")).select("comp", "sid", "w", "sig")
+    # partial counts of small rows; signatures are moved once, and only those of components
+    count = own.select("sid", "doc_id").distinct().groupBy("sid")
+    rep = stash(count.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("w")), "sets")
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = unbinary(b.column(1), np.uint8)[0].reshape(b.num_rows, -1)
+        return np.repeat(np.arange(b.num_rows), bands), band_keys(joined(flat), bands, band).ravel(), flat[:, :hashes]
+
+    sketches = own.groupBy("sid").agg(F.first(F.substring("sig", 1, hashes)).alias("sketch"))
+    comps = meeting(own.select("sid", "sig"), keys, sketches, hashes, threshold)
+    members = rep.join(comps.hint("merge"), F.col("sid") == F.col("node")).select("comp", "sid", "w", F.col("doc_id").alias("of_id"))
+    place = tiled(members, tile).withColumnRenamed("sid", "of_sid")
+    sets = own.join(place.hint("merge"), (F.col("sid") == F.col("of_sid")) & (F.col("doc_id") == F.col("of_id"))).select("comp", "sid", "w", "tile", "last", "sig")
 
     def hits(t: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, _ = unbinary(t.column("sig").combine_chunks() if t.column("sig").num_chunks != 1 else t.column("sig").chunk(0), np.uint8)
         return agreeing(joined(flat.reshape(-1, 4 * hashes)), left, right, threshold * hashes)
 
-    found = stash(found_links(tiled(place, tile), "sig", hits, most=2048), "found")
-    return classes(base.select("doc_id", "sid"), sets.select("sid", "doc_id", "w"), found)
+    found = stash(found_links(sets, "sig", hits, most=2048), "found")
+    return classes(base.select("doc_id", "sid"), rep, found)

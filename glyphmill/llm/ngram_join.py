@@ -194,10 +194,17 @@ def prepared(docs: DataFrame, n: int, threshold: float, orders: int, tile: int,
     order = spark.sparkContext.broadcast(ranks(base.filter("doc_id is null").select("sid", "sketch")))
     base = base.filter("doc_id is not null")
     own = base.filter("sid is not null")
-    count = own.select("sid", "doc_id").distinct().groupBy("sid").agg(F.count("*").alias("w"))
-    rep = stash(own.groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).join(count, "sid").select("sid", "r.doc_id", "r.tkey", "w", "keys", "sketch"), "sets")
-    comps = meeting(rep, SKETCH, LINK)
-    placed = rep.select("sid", "doc_id", "tkey", "w").join(comps, F.col("sid") == F.col("node")).select("comp", "sid", "w", F.col("doc_id").alias("of_id"), F.col("tkey").alias("of_key"))
+    # partial counts of small rows; keys and sketches aren't moved with them
+    parts = own.groupBy("sid", "doc_id").agg(F.min("tkey").alias("tkey"))
+    rep = stash(parts.groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.count("*").alias("w")).select("sid", "r.doc_id", "r.tkey", "w"), "sets")
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = b.column(1)
+        row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        return row, lists.flatten().to_numpy(zero_copy_only=False), unbinary(b.column(2), np.uint8)[0].reshape(-1, SKETCH)
+
+    comps = meeting(own.select("sid", "keys", "sketch"), keys, own.groupBy("sid").agg(F.first("sketch").alias("sketch")), SKETCH, LINK)
+    placed = rep.join(comps, F.col("sid") == F.col("node")).select("comp", "sid", "w", F.col("doc_id").alias("of_id"), F.col("tkey").alias("of_key"))
     # merged at every size: whether the ids of a small corpus could be broadcast doesn't decide the plan
     place = tiled(placed, tile)
     near = d.join(place.hint("merge"), (d["doc_id"] == place["of_id"]) & (d["tkey"] == place["of_key"]))
