@@ -1,7 +1,10 @@
-"""Identifier-aware tokens, as column expressions."""
+"""Identifier-aware tokens, as column expressions, and in Python for whole batches of texts."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +43,33 @@ def tokenize(text: Column) -> Column:
 def unique_tokens(text: Column) -> Column:
     """Tokens without repeats, in the order of their first appearance."""
     return F.array_distinct(tokenize(text))
+
+
+_token, _humps, _plain = re.compile(TOKEN), re.compile(HUMPS), re.compile("[a-z]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_known: dict[str, tuple[str, ...]] = {}
+
+
+def parts_of(token: str) -> tuple[str, ...]:
+    """:func:`split_identifier` of one token; those seen before are kept, up to a number."""
+    got = _known.get(token)
+    if got is None:
+        low = token.translate(_LOWER)
+        got = (low,)
+        if not _plain.fullmatch(token):
+            more = [p for p in low.split("_") if p] if "_" in token else [h.translate(_LOWER) for h in _humps.findall(token)]
+            if len(more) > 1:
+                got = (low, *more)
+        if len(_known) >= 1 << 18:
+            _known.clear()
+        _known[token] = got
+    return got
+
+
+def term_counts(text: str | None) -> dict[str, int]:
+    """How often each token of :func:`tokenize` occurs in a text."""
+    out: dict[str, int] = {}
+    for token, n in Counter(_token.findall(text or "")).items():
+        for p in parts_of(token):
+            out[p] = out.get(p, 0) + n
+    return out

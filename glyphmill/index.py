@@ -71,7 +71,7 @@ class Index:
         chunks = put(chunks.select("chunk_id", *ROW), "chunks")
         if not chunks.head(1):
             raise ValueError(empty)
-        built = bm25.build(bm25.chunk_tokens(chunks))
+        built = bm25.build(put(bm25.chunk_terms(chunks), "counted"))
         # sorted by term: a search reads only the row groups of its terms
         posted = put(built.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
         terms = put(posted.groupBy("term").agg(F.count("*").alias("df")), "terms")

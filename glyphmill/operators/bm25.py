@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.paths import enrich
-from glyphmill.functions.tokens import tokenize, unique_tokens
+from glyphmill.functions.tokens import term_counts, unique_tokens
+from glyphmill.session import ship
 
 K1, B = 1.5, 0.75
 
@@ -21,26 +25,39 @@ class Postings(NamedTuple):
     corpus: DataFrame
 
 
-def chunk_tokens(chunks: DataFrame, enriched: bool = True) -> DataFrame:
-    """``(chunk_id, tokens)``."""
+def chunk_terms(chunks: DataFrame, enriched: bool = True) -> DataFrame:
+    """``(chunk_id, dl, terms, tfs)``: the number of tokens, the distinct ones, and how often each occurs.
+
+    Texts are read whole, in Arrow batches; a null text has no tokens.
+    """
+    ship(chunks.sparkSession)
     text = enrich(F.col("content"), F.col("file_path")) if enriched else F.col("content")
-    return chunks.select("chunk_id", tokenize(text).alias("tokens"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                counts = [term_counts(t) for t in part.column(1).to_pylist()]
+                off = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counts])]), pa.int32())
+                terms = pa.ListArray.from_arrays(off, pa.array([t for c in counts for t in c], pa.string()))
+                tfs = pa.ListArray.from_arrays(off, pa.array([n for c in counts for n in c.values()], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sum(c.values()) for c in counts], pa.int64()), terms, tfs], ["chunk_id", "dl", "terms", "tfs"])
+
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), text.alias("text")).mapInArrow(run, "chunk_id long, dl long, terms array<string>, tfs array<int>")
 
 
-def build(tokens: DataFrame, wanted: DataFrame | None = None) -> Postings:
-    """The index of ``(chunk_id, tokens)``. Term counts combine before the only large shuffle.
+def build(counted: DataFrame, wanted: DataFrame | None = None) -> Postings:
+    """The index of :func:`chunk_terms`, which have each chunk's counts already, so postings need no shuffle.
 
-    With ``wanted(term)`` only those terms are indexed: what queries that are known beforehand need
-    doesn't shuffle all postings. The statistics of the corpus are those of all terms.
+    All three tables read ``counted``: as a work table, texts are read once. With ``wanted(term)`` only those terms are
+    indexed: what queries that are known beforehand need doesn't shuffle all postings. The statistics of the corpus are those of all terms.
     """
-    # an inner explode would have its input filtered by size, and so the tokens made twice
-    counted = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term")).filter("term is not null")
+    postings = counted.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "chunk_id", F.col("p.tfs").alias("tf"), "dl")
     if wanted is not None:
-        counted = counted.join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = counted.groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
+        postings = postings.join(wanted.select("term").distinct(), "term", "left_semi")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.count("*")
-    corpus = tokens.agg(n.alias("n"), F.when(n > 0, F.sum(F.size("tokens")) / n).otherwise(0.0).cast("double").alias("avgdl"))
+    corpus = counted.agg(n.alias("n"), F.when(n > 0, F.sum("dl") / n).otherwise(0.0).cast("double").alias("avgdl"))
     return Postings(postings, terms, corpus)
 
 

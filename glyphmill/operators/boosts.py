@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.paths import identifiers, stem
+from glyphmill.operators.lookup import passes
+from glyphmill.session import stash
 
 COHERENCE, DEFINITION, EMBEDDED, STEM = 0.2, 3.0, 0.5, 1.0
 STEM_MIN, RATIO_MIN = 4, 0.10
@@ -53,7 +55,8 @@ def defines(content: Column, name: Column) -> Column:
     n = escaped(name)
     code = F.concat(F.lit("(?Udm)" + HEAD.format(words="|".join(KEYWORDS))), n, F.lit(TAIL))
     ddl = F.concat(F.lit("(?Uidm)" + HEAD.format(words="|".join(SQL_KEYWORDS))), n, F.lit(TAIL))
-    return F.regexp_like(content, code) | F.regexp_like(content, ddl)
+    # what a match must hold is looked for first: few texts get to the patterns, which differ from row to row
+    return (content.contains(name) & F.regexp_like(content, code)) | (F.lower(content).contains("create") & F.regexp_like(content, ddl))
 
 
 def bare(s: Column) -> Column:
@@ -99,11 +102,11 @@ def file_coherence(cand: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when((F.col("best") == 1) & (F.col("top") != 0) & (F.col("top_sum") > 0), F.col("score") + gain).otherwise(F.col("score"))).select(*cand.columns)
 
 
-def tier(content: Column, stem_low: Column, names: Column, unit: Column) -> Column:
+def tier(hit: Column, stem_low: Column, names: Column, unit: Column) -> Column:
     """What defining one of the names is worth: the unit, and half more in a file named like one."""
     forms = stem_forms(stem_low)
     named = F.exists(names, lambda n: F.array_contains(forms, F.lower(n)))
-    return F.when(F.exists(names, lambda n: defines(content, n)), F.when(named, unit * 1.5).otherwise(unit)).otherwise(0.0)
+    return F.when(hit, F.when(named, unit * 1.5).otherwise(unit)).otherwise(0.0)
 
 
 def keyword_matches(words: Column, parts: Column) -> Column:
@@ -114,12 +117,23 @@ def keyword_matches(words: Column, parts: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.exists(parts, lambda p: near(w, p))))
 
 
-def query_boost(cand: DataFrame, spec: DataFrame, chunks: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def definers(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(of_chunk, name)`` of the different ``(chunk_id, name)`` whose chunk defines the name, each looked at once.
+
+    The patterns run where contents are: pairs go to the chunks, not contents to the pairs.
+    """
+    text = chunks.select(F.col("chunk_id").alias("of_chunk"), "content")
+    full = text.join(pairs.select("chunk_id", "name").distinct(), F.col("of_chunk") == F.col("chunk_id"))
+    # an exploded value can't be pulled into a filter, and so isn't worked out twice
+    return full.select("of_chunk", "name", F.explode(F.array(defines(F.col("content"), F.col("name")))).alias("hit")).filter("hit").select("of_chunk", "name")
+
+
+def query_boost(cand: DataFrame, spec: DataFrame, chunks: DataFrame, filtered: bool = False) -> DataFrame:
     """Candidates after the boosts for their query, and chunks that its names bring in.
 
     A symbol query lifts chunks that define it. Others lift chunks of files named like
     their words, and chunks that define a symbol that they mention. Chunks of a fitting file that define
-    a name come in although no ranking has them; ``allowed(query_id, chunk_id)`` restricts these.
+    a name come in although no ranking has them; with ``filtered`` the queries' filters restrict these.
     """
     q = spec.select("query_id", "names", "scale", "look", "words", "symbol")
     low = F.lower(stem(F.col("file_path")))
@@ -129,24 +143,28 @@ def query_boost(cand: DataFrame, spec: DataFrame, chunks: DataFrame, allowed: Da
     keys = F.when(F.col("symbol"), F.col("look")).otherwise(F.array_distinct(F.flatten(F.transform("look", lambda s: F.filter(prefixes(s), lambda p: (p == s) | long_(p))))))
     want = q.filter(F.size("look") > 0).select("query_id", "symbol", F.explode(keys).alias("key"))
     spelt = F.when(F.lit(True), stem_forms(low))
-    stems = chunks.select("chunk_id", "file_path", F.explode(spelt).alias("key"), F.array(low, bare(low)).alias("plain"))
+    stems = chunks.select("chunk_id", "file_path", *(["language"] if filtered else []), F.explode(spelt).alias("key"), F.array(low, bare(low)).alias("plain"))
     fits = F.col("symbol") | F.array_contains("plain", F.col("key"))
-    found = stems.join(want, "key").filter(fits).select("query_id", "chunk_id", "file_path").distinct()
-    if allowed is not None:
-        found = found.join(allowed, ["query_id", "chunk_id"], "left_semi")
+    found = stems.join(want, "key").filter(fits)
+    if filtered:
+        own = spec.select(F.col("query_id").alias("of_query"), "filter_languages", "filter_paths")
+        found = found.join(own, F.col("query_id") == F.col("of_query")).filter(passes(F.col("language"), F.col("file_path"), F.col("filter_languages"), F.col("filter_paths")))
+    found = found.select("query_id", "chunk_id", "file_path").distinct()
     # after all candidates, in the order of chunks
     found = found.withColumn("score", F.lit(None).cast("double")).withColumn("ord", F.col("chunk_id") + (1 << 40)).withColumn("new", F.lit(True))
-    # candidates go through the plan once: windows tell the best score of a query, and which chunks are new to it
+    rows = stash(cand.select("query_id", "chunk_id", "file_path", "score", "ord").withColumn("new", F.lit(False)).unionByName(found), "candidates")
+    # which of them define a name of their query
+    named = rows.join(q.filter(F.size("names") > 0).select("query_id", F.explode("names").alias("name")), "query_id").select("query_id", "chunk_id", "name")
+    known = definers(named, chunks)
+    hits = named.join(known.withColumnRenamed("name", "defined"), (F.col("chunk_id") == F.col("of_chunk")) & (F.col("name") == F.col("defined"))).select(F.col("query_id").alias("hq"), F.col("chunk_id").alias("hc")).distinct().withColumn("hit", F.lit(True))
+    # windows tell the best score of a query, and which chunks are new to it
     by_query, by_pair = Window.partitionBy("query_id"), Window.partitionBy("query_id", "chunk_id")
-    rows = cand.select("query_id", "chunk_id", "file_path", "score", "ord").withColumn("new", F.lit(False)).unionByName(found)
     rows = rows.withColumn("known", ~F.min("new").over(by_pair)).filter(~(F.col("new") & F.col("known")))
     rows = rows.withColumn("top", F.max("score").over(by_query)).filter("top is not null").join(q, "query_id")
-    # contents are fetched for queries with names only
-    text = chunks.select(F.col("chunk_id").alias("__c"), "content")
-    rows = rows.join(text, F.when(F.size("names") > 0, F.col("chunk_id")) == F.col("__c"), "left")
+    rows = rows.join(hits, (F.col("query_id") == F.col("hq")) & (F.col("chunk_id") == F.col("hc")), "left")
     ratio = keyword_matches(F.col("words"), identifiers(F.col("file_path"))) / F.size("words")
     like = F.when((F.size("words") > 0) & (ratio >= RATIO_MIN), F.col("top") * STEM * ratio).otherwise(0.0)
-    worth = tier(F.col("content"), low, F.col("names"), F.col("top") * F.col("scale"))
+    worth = tier(F.coalesce("hit", F.lit(False)), low, F.col("names"), F.col("top") * F.col("scale"))
     rows = rows.withColumn("worth", worth).filter("not new or worth <> 0")
     score = F.when(F.col("new"), F.col("worth")).otherwise(F.col("score") + like + F.col("worth"))
     return rows.select("query_id", "chunk_id", "file_path", score.alias("score"), "ord")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.session import ship
+
 
 def resolve(chunks: DataFrame, places: DataFrame) -> DataFrame:
     """``(place_id, chunk_id)`` of every place ``(place_id, file_path, line)`` that a chunk covers.
@@ -27,13 +34,84 @@ def languages(chunks: DataFrame) -> DataFrame:
     return chunks.filter("language is not null").groupBy("language").agg(F.count("*").alias("chunks"))
 
 
-def selected(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id)`` that each query's ``filter_languages`` and ``filter_paths`` let pass.
+def passes(language: Column, path: Column, langs: Column, paths: Column) -> Column:
+    """Whether a chunk passes a query's ``filter_languages`` and ``filter_paths``.
 
     A language must be one of those named (none counts as the empty string), a path must hold one of the strings;
     null or empty lists don't filter.
     """
-    langs, paths = F.col("filter_languages"), F.col("filter_paths")
     free = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    ok = (free(langs) | F.array_contains(langs, F.coalesce("language", F.lit("")))) & (free(paths) | F.exists(paths, lambda p: F.col("file_path").contains(p)))
-    return chunks.select("chunk_id", "file_path", "language").join(queries.select("query_id", "filter_languages", "filter_paths"), ok).select("query_id", "chunk_id")
+    named = F.array_contains(langs, F.coalesce(language, F.lit("")))
+    return (free(langs) | F.coalesce(named, F.lit(False))) & (free(paths) | F.coalesce(F.exists(paths, lambda p: path.contains(p)), F.lit(False)))
+
+
+def filter_kinds(queries: list) -> list[tuple[tuple, tuple, list[int]]]:
+    """(languages, path parts, query ids) of the different filters of some rows of queries."""
+    kinds: dict[tuple, list[int]] = {}
+    for r in queries:
+        kinds.setdefault((tuple(r.filter_languages or ()), tuple(p for p in r.filter_paths or () if p is not None) if r.filter_paths else ()), []).append(r.query_id)
+    return [(a, b, ids) for (a, b), ids in kinds.items()]
+
+
+def mask(language: pa.Array, path: pa.Array, langs: tuple, parts: tuple) -> np.ndarray:
+    """:func:`passes` for a batch of chunks and one filter."""
+    ok = np.ones(len(path), bool)
+    if langs:
+        ok &= pc.is_in(pc.fill_null(language, ""), value_set=pa.array([x for x in langs if x is not None], pa.string())).to_numpy(zero_copy_only=False)
+    if parts:
+        hit = np.zeros(len(path), bool)
+        for p in parts:
+            hit |= pc.fill_null(pc.match_substring(path, p), False).to_numpy(zero_copy_only=False)
+        ok &= hit
+    return ok
+
+
+def in_blocks(queries: DataFrame, cost: Callable, most: int) -> Iterator[list]:
+    """The rows of a table of queries in blocks of at most ``most`` of ``cost``; one block at a time is held."""
+    held, size = [], 0
+    for r in queries.toLocalIterator(prefetchPartitions=False):
+        c = cost(r)
+        if held and size + c > most:
+            yield held
+            held, size = [], 0
+        held.append(r)
+        size += c
+    if held:
+        yield held
+
+
+def selected(chunks: DataFrame, queries: DataFrame, query_bytes: int = 8 << 20, once: bool = False) -> DataFrame:
+    """``(query_id, chunk_id)`` that each query's filters let pass; with ``once`` only ``(query_id)`` that any chunk passes.
+
+    The queries' filters go to the chunks in blocks of ``query_bytes``: a scan a block, no join and no shuffle of pairs.
+    Queries with equal filters are looked at once.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    size = lambda r: 64 + sum(len(x or "") + 16 for x in [*(r.filter_languages or ()), *(r.filter_paths or ())])
+    rows = chunks.select("chunk_id", "file_path", "language")
+    schema = "query_id long" if once else "query_id long, chunk_id long"
+    out = None
+    for block in in_blocks(queries.select("query_id", "filter_languages", "filter_paths"), size, query_bytes):
+        shared = spark.sparkContext.broadcast(filter_kinds(block))
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in it:
+                for k, (langs, parts, ids) in enumerate(shared.value):
+                    if once and k in seen:
+                        continue
+                    hit = np.flatnonzero(mask(b.column(2), b.column(1), langs, parts))
+                    if once and len(hit):
+                        seen.add(k)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["query_id"])
+                    elif len(hit):
+                        own = b.column(0).cast(pa.int64()).take(pa.array(hit))
+                        for q in ids:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), q, np.int64)), own], ["query_id", "chunk_id"])
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.union(part)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    return out.distinct() if once else out

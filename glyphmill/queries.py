@@ -12,7 +12,7 @@ from glyphmill.functions import paths, text, tokens
 from glyphmill.operators import bm25, boosts, chunking, dense, fusion, lookup
 from glyphmill.operators.rerank import cut, rerank
 from glyphmill.plans import corpus, search, sql
-from glyphmill.session import table
+from glyphmill.session import stash, table
 from glyphmill.sources import languages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,10 @@ def query(final: str | None = None) -> Callable:
 
 def _index(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> bm25.Postings:
     """The index of the corpus, or what of it the queries ``asked`` need."""
-    return bm25.build(bm25.chunk_tokens(corpus.chunks(spark, sf)), None if asked is None else bm25.query_terms(asked))
+    counted = bm25.chunk_terms(corpus.chunks(spark, sf))
+    if asked is None:
+        return bm25.build(counted)
+    return bm25.build(stash(counted, "terms"), bm25.query_terms(asked))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,8 +79,8 @@ def find_related(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT chunk_id, len(l) AS n_tokens, len(list_distinct(l)) AS n_distinct FROM (SELECT chunk_id, flatten(list_transform(regexp_extract_all(content, '{tokens.TOKEN}'), lambda tok: {sql.split('tok')})) AS l FROM chunks)")
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens and distinct tokens of every chunk's content."""
-    t = bm25.chunk_tokens(corpus.chunks(spark, sf), enriched=False)
-    return t.select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
+    t = bm25.chunk_terms(corpus.chunks(spark, sf), enriched=False)
+    return t.select("chunk_id", F.col("dl").alias("n_tokens"), F.size("terms").cast("long").alias("n_distinct"))
 
 
 @query("SELECT chunk_id, term, tf::BIGINT AS tf FROM counts")
@@ -116,8 +119,7 @@ def _filters(q: DataFrame) -> DataFrame:
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Filters apply before the cut, statistics stay those of all chunks."""
     q = _filters(_asked(spark, sf))
-    allowed = lookup.selected(corpus.chunks(spark, sf), q)
-    kept = bm25.scores(_index(spark, sf, q), q).join(allowed, ["query_id", "chunk_id"], "left_semi")
+    kept = search.passing(bm25.scores(_index(spark, sf, q), q), q, corpus.chunks(spark, sf))
     return bm25.top_k(kept, 10).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 

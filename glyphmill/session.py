@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -55,3 +56,51 @@ def ship(spark: SparkSession) -> None:
         f.write(buf.getvalue())
     sc.addPyFile(path)
     sc._glyphmill_shipped = True
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for work tables: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; a cluster has none
+    that all machines see, so there it is an error.
+    """
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if got:
+        return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmill-work-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, that goes when the driver ends."""
+    path = f"{work_dir(spark)}/glyphmill/{label}-{uuid.uuid4().hex}"
+    fs, there = _file_system(spark, path)
+    fs.mkdirs(there)
+    fs.deleteOnExit(there)
+    return path
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write a work table and read it back: cuts lineage and survives lost executors.
+
+    The table goes when the driver ends, or at once by :func:`discard`.
+    """
+    path = work_folder(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._glyphmill_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that nothing reads any more."""
+    for t in tables:
+        fs, there = _file_system(t.sparkSession, t._glyphmill_path)
+        fs.delete(there, True)

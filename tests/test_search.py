@@ -11,7 +11,7 @@ from glyphmill.plans import search
 
 
 def toks(spark, docs):
-    return spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "chunk_id long, tokens array<string>")
+    return bm25.chunk_terms(spark.createDataFrame([(i, " ".join(d), "x") for i, d in enumerate(docs)], "chunk_id long, content string, file_path string"), enriched=False)
 
 
 def asked(spark, *texts):
@@ -118,14 +118,44 @@ def test_knn(spark):
         for r in dense.knn(v, q, 5, query_bytes=size).orderBy("query_id", "sem_rank").collect():
             got.setdefault(r.query_id, []).append(r.chunk_id)
         assert got == want
-    allowed = spark.createDataFrame([(0, 5), (0, 6)], "query_id long, chunk_id long")
-    assert {r.chunk_id for r in dense.knn(v, q, 5, allowed).collect()} == {5, 6}
+    # every query with a filter of its own, some without, in one block or many
+    meta = spark.createDataFrame([(i, f"{'src' if i % 3 else 'pkg'}/f{i}.x", None if i % 4 == 0 else "go") for i in range(60)], "chunk_id long, file_path string, language string")
+    rule = {0: (None, None), 1: ([], ["src/"]), 2: (["go"], None), 3: ([""], ["pkg", "f8"]), 4: (["none"], None)}
+    f = spark.createDataFrame([(i, *rule[i % 5], [float(x) for x in m[i]]) for i in range(10)], "query_id long, filter_languages array<string>, filter_paths array<string>, v array<float>")
+
+    def free(q, i):
+        langs, parts = rule[q % 5]
+        return (not langs or ("" if i % 4 == 0 else "go") in langs) and (not parts or any(p in f"{'src' if i % 3 else 'pkg'}/f{i}.x" for p in parts))
+
+    pairs = sorted((q, i) for q in range(10) for i in range(60) if free(q, i))
+    for size in (1 << 20, 100):
+        got = {}
+        for r in dense.knn(v, f, 5, meta, query_bytes=size).orderBy("query_id", "sem_rank").collect():
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        near = {i: [int(j) for j in np.lexsort((np.arange(60), -np.round(u[i] @ u.T, 6))) if free(i, j)][:5] for i in range(10)}
+        assert got == {i: x for i, x in near.items() if x}
+        assert sorted(tuple(r) for r in lookup.selected(meta, f, query_bytes=size).collect()) == pairs
+        assert {r.query_id for r in lookup.selected(meta, f, query_bytes=size, once=True).collect()} == {q for q, _ in pairs}
+    all_pairs = f.select("query_id").crossJoin(meta.select("chunk_id"))
+    assert sorted(tuple(r) for r in search.passing(all_pairs, f, meta).collect()) == pairs
     with pytest.raises(ValueError):
         dense.knn(v, q, 0)
     with pytest.raises(ValueError):
         dense.knn(v, spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "query_id long, v array<float>"), 2)
 
 
+def test_many_queries_in_blocks(spark):
+    """More queries than a block holds: the driver holds one block, and products stay small."""
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((3000, 4)).astype(np.float32)
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "chunk_id long, v array<float>")
+    got = {(r.query_id, r.sem_rank): r.chunk_id for r in dense.knn(v, v.selectExpr("chunk_id as query_id", "v"), 3, query_bytes=96 * 900).collect()}
+    u = dense.unit(m.astype(np.float64))
+    s = np.round(u @ u.T, 12)
+    want = np.lexsort((np.broadcast_to(np.arange(3000), s.shape), -s), axis=1)[:, :3]
+    assert all(got[i, r + 1] == want[i, r] for i in range(3000) for r in range(3))
+
+
 def test_stub_model():
     assert dense.fnv1a("hello") == 1335831723
     v = dense.stub_vector("hello", 8)
