@@ -15,7 +15,7 @@ from .textvec import U, mix, row_reduce, words
 
 #: Hashes in a signature, the least similarity of a link, and the bands of a signature with the hashes in each.
 HASHES, THRESHOLD = 128, 0.5
-BANDS, BAND = 80, 4
+BANDS, BAND = 64, 4
 TILE = 1024
 MASK = (1 << 61) - 1
 TOP = U(0xFFFFFFFF)
@@ -122,8 +122,8 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, hashes: int =
 
     Every document is a query. Signatures can only be compared if they agree in one of
     ``bands`` bands, directly or through others; with similarity s that
-    fails with probability ``(1 - s ** band) ** bands`` or so: 0.3 % just at
-    0.5, 0.002 % at 0.6. Signatures that meet are one component, in which all are
+    fails with probability ``(1 - s ** band) ** bands`` or so: 1 % just at
+    0.5, 0.1 % at 0.55. Signatures that meet are one component, in which all are
     compared, in pairs of tiles of about ``tile``.
 
     Texts without words, null and empty ones are a class of their own without links; rows with a null id are left
