@@ -73,3 +73,8 @@ def term_counts(text: str | None) -> dict[str, int]:
         for p in parts_of(token):
             out[p] = out.get(p, 0) + n
     return out
+
+
+def ordered_terms(text: str | None) -> list[str]:
+    """:func:`unique_tokens` of a text."""
+    return list(dict.fromkeys(p for token in _token.findall(text or "") for p in parts_of(token)))

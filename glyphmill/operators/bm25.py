@@ -7,22 +7,27 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.paths import enrich
-from glyphmill.functions.tokens import term_counts, unique_tokens
+from glyphmill.functions.tokens import ordered_terms, term_counts, unique_tokens
+from glyphmill.operators.lookup import filter_kinds, in_blocks, mask, passing
 from glyphmill.session import ship
 
 K1, B = 1.5, 0.75
+#: Bytes of queries' texts that go to all workers at once, and chunks that are scored at once.
+QUERY_BYTES, SLICE = 4 << 20, 4096
 
 
 class Postings(NamedTuple):
-    """The index: ``postings(term, chunk_id, tf, dl)``, ``terms(term, df)``, ``corpus(n, avgdl)`` of one row."""
+    """The index: ``postings(term, chunk_id, tf, dl)``, ``terms(term, df)``, ``corpus(n, avgdl)`` of one row, and what they were made of."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    counted: DataFrame | None = None
 
 
 def chunk_terms(chunks: DataFrame, enriched: bool = True) -> DataFrame:
@@ -58,7 +63,7 @@ def build(counted: DataFrame, wanted: DataFrame | None = None) -> Postings:
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.count("*")
     corpus = counted.agg(n.alias("n"), F.when(n > 0, F.sum("dl") / n).otherwise(0.0).cast("double").alias("avgdl"))
-    return Postings(postings, terms, corpus)
+    return Postings(postings, terms, corpus, counted)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -91,3 +96,95 @@ def top_k(scored: DataFrame, k, rank: str = "rank") -> DataFrame:
     """The ``k`` best positive scores of each query, ties by chunk; ``k`` is a number or a column."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.filter("score > 0").withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+def _frequencies(counted: DataFrame, vocabulary: pa.Array) -> np.ndarray:
+    """The number of chunks that have each term; counts combine before the shuffle."""
+    shared = counted.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for b in it:
+            at = pc.index_in(b.column(0).flatten(), value_set=shared.value).drop_null()
+            total += np.bincount(at.to_numpy(), minlength=len(total))
+        has = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], ["t", "n"])
+
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in counted.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        out[r.t] = r.n
+    return out
+
+
+def best(index: Postings, queries: DataFrame, k: int, rank: str = "rank", chunks: DataFrame | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """:func:`top_k` of :func:`scores` for a table of queries, chunk by chunk.
+
+    Queries go to the chunks in blocks of ``query_bytes`` of text, of which the driver holds one at a time. Every task adds up the terms of
+    its chunks for all queries of a block, in the order of the query, and keeps ``k`` chunks a query, so what is shuffled doesn't grow with the
+    pairs of queries and chunks. With ``chunks(chunk_id, file_path, language)`` the queries' filters apply before the cut. An index without
+    chunks' counts is searched by its postings.
+    """
+    if index.counted is None:
+        return top_k(scores(index, queries) if chunks is None else passing(scores(index, queries), queries, chunks), k, rank)
+    spark = index.counted.sparkSession
+    ship(spark)
+    filters = ["filter_languages", "filter_paths"] if chunks is not None else []
+    rows = index.counted.select("chunk_id", "dl", "terms", "tfs")
+    if chunks is not None:
+        rows = rows.join(chunks.select(F.col("chunk_id").alias("of_chunk"), "file_path", "language"), F.col("chunk_id") == F.col("of_chunk")).drop("of_chunk")
+    stats = index.corpus.first()
+    hits = None
+    for block in in_blocks(queries.select("query_id", "text", *filters), lambda r: 2 * len(r.text or "") + 64, query_bytes):
+        own = [ordered_terms(r.text) for r in block]
+        vocabulary = pa.array(sorted({t for x in own for t in x}), pa.string())
+        df = _frequencies(index.counted, vocabulary)
+        at = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+        idf = np.log(1.0 + (stats.n - df + 0.5) / (df + 0.5))
+        asked = [(r.query_id, np.array([at[t] for t in x], np.int64)) for r, x in zip(block, own)]
+        place: dict[int, list[int]] = {}
+        for i, r in enumerate(block):
+            place.setdefault(r.query_id, []).append(i)
+        kinds = [(langs, parts, {i for q in ids for i in place[q]}) for langs, parts, ids in filter_kinds(block)] if filters else []
+        shared = spark.sparkContext.broadcast((asked, vocabulary, idf, stats.avgdl or 1.0, kinds))
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, vocabulary, idf, avgdl, kinds = shared.value
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(asked)
+            for b in it:
+                for lo in range(0, b.num_rows, SLICE):
+                    part = b.slice(lo, SLICE)
+                    cid, dl = part.column(0).to_numpy(), part.column(1).to_numpy().astype(float)
+                    size = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                    term = pc.fill_null(pc.index_in(part.column(2).flatten(), value_set=vocabulary), -1).to_numpy()
+                    hit = np.flatnonzero(term >= 0)
+                    row = np.repeat(np.arange(len(cid)), size)[hit]
+                    tf, term = part.column(3).flatten().to_numpy()[hit].astype(float), term[hit]
+                    denom = tf + K1 * (1 - B + B * dl[row] / avgdl)
+                    add = idf[term] * tf * (K1 + 1) / np.where(denom == 0, 1.0, denom)
+                    order = np.argsort(term, kind="stable")
+                    row, add = row[order], add[order]
+                    to = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+                    masks = [(mask(part.column(5), part.column(4), langs, parts), own) for langs, parts, own in kinds]
+                    for q, (_, terms) in enumerate(asked):
+                        total = np.zeros(len(cid), np.float32)
+                        for t in terms[to[terms + 1] > to[terms]]:
+                            x = row[to[t] : to[t + 1]]
+                            total[x] = (total[x].astype(float) + add[to[t] : to[t + 1]]).astype(np.float32)
+                        for ok, own in masks:
+                            if q in own:
+                                total[~ok] = 0
+                        ids, score = found[q]
+                        y = np.flatnonzero((total > 0) & (total >= (score[-1] if len(score) >= k else 0)))
+                        if len(y):
+                            ids, score = np.r_[ids, cid[y]], np.r_[score, total[y]]
+                            first = np.lexsort((ids, -score))[:k]
+                            found[q] = ids[first], score[first]
+            n = [len(ids) for ids, _ in found]
+            if sum(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in asked], n)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "chunk_id", "score"])
+
+        part = rows.mapInArrow(run, "query_id long, chunk_id long, score float")
+        hits = part if hits is None else hits.union(part)
+    if hits is None:
+        hits = spark.createDataFrame([], "query_id long, chunk_id long, score float")
+    return top_k(hits, k, rank)

@@ -45,6 +45,14 @@ def passes(language: Column, path: Column, langs: Column, paths: Column) -> Colu
     return (free(langs) | F.coalesce(named, F.lit(False))) & (free(paths) | F.coalesce(F.exists(paths, lambda p: path.contains(p)), F.lit(False)))
 
 
+def passing(rows: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows ``(query_id, chunk_id, ...)`` that the queries' filters let pass; no other pairs are made."""
+    q = queries.select(F.col("query_id").alias("of_query"), F.col("filter_languages").alias("of_langs"), F.col("filter_paths").alias("of_parts"))
+    c = chunks.select(F.col("chunk_id").alias("of_chunk"), F.col("file_path").alias("of_path"), F.col("language").alias("of_lang"))
+    full = rows.join(q, F.col("query_id") == F.col("of_query")).join(c, F.col("chunk_id") == F.col("of_chunk"))
+    return full.filter(passes(F.col("of_lang"), F.col("of_path"), F.col("of_langs"), F.col("of_parts"))).select(*rows.columns)
+
+
 def filter_kinds(queries: list) -> list[tuple[tuple, tuple, list[int]]]:
     """(languages, path parts, query ids) of the different filters of some rows of queries."""
     kinds: dict[tuple, list[int]] = {}

@@ -24,10 +24,7 @@ def hybrid(chunks: DataFrame, index: bm25.Postings, vectors: DataFrame, queries:
     spec = boosts.query_spec(queries.filter(boosts.trimmed(F.col("text")) != ""))
     k = top_k * OVERFETCH
     near = dense.knn(vectors, spec, k, chunks if filtered else None)
-    scored = bm25.scores(index, spec)
-    if filtered:
-        scored = passing(scored, spec, chunks)
-    lexical = bm25.top_k(scored, k, "bm_rank")
+    lexical = bm25.best(index, spec, k, "bm_rank", chunks if filtered else None)
     cand = fusion.candidates(fusion.blend(near, lexical, spec), chunks)
     if not reranked:
         return cut(cand, top_k)
@@ -38,14 +35,6 @@ def hybrid(chunks: DataFrame, index: bm25.Postings, vectors: DataFrame, queries:
     return rerank(boosted.join(spec.select("query_id", "alpha"), "query_id"), top_k, F.col("alpha") < 1.0)
 
 
-def passing(rows: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The rows ``(query_id, chunk_id, ...)`` that the queries' filters let pass; no other pairs are made."""
-    q = queries.select(F.col("query_id").alias("of_query"), F.col("filter_languages").alias("of_langs"), F.col("filter_paths").alias("of_parts"))
-    c = chunks.select(F.col("chunk_id").alias("of_chunk"), F.col("file_path").alias("of_path"), F.col("language").alias("of_lang"))
-    full = rows.join(q, F.col("query_id") == F.col("of_query")).join(c, F.col("chunk_id") == F.col("of_chunk"))
-    return full.filter(lookup.passes(F.col("of_lang"), F.col("of_path"), F.col("of_langs"), F.col("of_parts"))).select(*rows.columns)
-
-
 def related(vectors: DataFrame, seeds: DataFrame, top_k: int = TOP_K, seed_col: str = "chunk_id") -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the nearest chunks of each seed ``(query_id, chunk_id, v)``, without itself."""
     hits = dense.knn(vectors, seeds.select("query_id", "v"), top_k + 1)

@@ -47,7 +47,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf: str, spec: DataFrame) -> DataFrame:
     near = dense.knn(corpus.vectors(spark, sf), spec.select("query_id", "v"), 25)
-    lexical = bm25.top_k(bm25.scores(_index(spark, sf, spec), spec), 25, "bm_rank")
+    lexical = bm25.best(_index(spark, sf, spec), spec, 25, "bm_rank")
     return fusion.candidates(fusion.blend(near, lexical, spec), corpus.chunks(spark, sf))
 
 
@@ -106,7 +106,7 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, chunk_id, round(score, 5) AS score, bm_rank::INTEGER AS rank FROM bmk WHERE bm_rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.top_k(bm25.scores(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf)), 10).withColumn("score", F.round(F.col("score").cast("double"), 5))
+    return bm25.best(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf), 10).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 
 def _filters(q: DataFrame) -> DataFrame:
@@ -119,8 +119,7 @@ def _filters(q: DataFrame) -> DataFrame:
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Filters apply before the cut, statistics stay those of all chunks."""
     q = _filters(_asked(spark, sf))
-    kept = search.passing(bm25.scores(_index(spark, sf, q), q), q, corpus.chunks(spark, sf))
-    return bm25.top_k(kept, 10).withColumn("score", F.round(F.col("score").cast("double"), 5))
+    return bm25.best(_index(spark, sf, q), q, 10, chunks=corpus.chunks(spark, sf)).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 
 @query("SELECT q.query_id, c.chunk_id FROM (SELECT * FROM asked WHERE trim(text) <> '') q, chunks c WHERE (q.query_id % 3 <> 0 OR language IN ('python', 'go')) AND (q.query_id % 2 <> 0 OR contains(file_path, 'src/') OR contains(file_path, 'pkg/'))")
@@ -130,7 +129,7 @@ def filter_selector(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + bm_rank), 9) AS rrf FROM bmk")
 def rrf_rank(spark: SparkSession, sf: str) -> DataFrame:
-    top = bm25.top_k(bm25.scores(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf)), 25, "bm_rank")
+    top = bm25.best(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf), 25, "bm_rank")
     return fusion.rrf_rank(top.select("query_id", "chunk_id", "score")).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
 
 

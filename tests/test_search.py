@@ -36,6 +36,20 @@ def test_bm25_empty(spark):
     assert bm25.scores(ix, asked(spark, "x")).count() == 0
 
 
+@pytest.mark.parametrize("filtered", [False, True])
+def test_best_is_the_top_of_all_scores(spark, filtered):
+    rng = random.Random(5)
+    word = lambda: rng.choice("alpha beta gammaRay delta_two eps zeta eta theta".split())
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 12))), f"{'src' if i % 3 else 'pkg'}/f.py", "go" if i % 2 else None) for i in range(300)], "chunk_id long, content string, file_path string, language string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 5))), ["go"] if i % 2 else None, ["src"] if i % 3 == 0 else []) for i in range(12)], "query_id long, text string, filter_languages array<string>, filter_paths array<string>")
+    ix = bm25.build(bm25.chunk_terms(docs))
+    meta = docs if filtered else None
+    want = sorted(map(tuple, bm25.best(ix._replace(counted=None), q, 4, chunks=meta).collect()))
+    assert want and {len([x for x in want if x[0] == i]) for i in range(12)} <= {0, 4}
+    for size in (1 << 20, 1):
+        assert sorted(map(tuple, bm25.best(ix, q, 4, chunks=meta, query_bytes=size).collect())) == want
+
+
 def test_rrf_and_blend(spark):
     s = spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.9), (0, 2, 0.5)], "query_id long, chunk_id long, score double")
     got = {r.chunk_id: r.rrf for r in fusion.rrf_rank(s).collect()}
@@ -137,7 +151,7 @@ def test_knn(spark):
         assert sorted(tuple(r) for r in lookup.selected(meta, f, query_bytes=size).collect()) == pairs
         assert {r.query_id for r in lookup.selected(meta, f, query_bytes=size, once=True).collect()} == {q for q, _ in pairs}
     all_pairs = f.select("query_id").crossJoin(meta.select("chunk_id"))
-    assert sorted(tuple(r) for r in search.passing(all_pairs, f, meta).collect()) == pairs
+    assert sorted(tuple(r) for r in lookup.passing(all_pairs, f, meta).collect()) == pairs
     with pytest.raises(ValueError):
         dense.knn(v, q, 0)
     with pytest.raises(ValueError):
