@@ -11,9 +11,11 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,41 +62,69 @@ def outline(page: str) -> dict:
     return {"title": entities.unescape(t[1]).strip() if t else None, "links": links}
 
 
+#: The field that holds the source's headers, as JSON, in a record that was made from another one.
+SOURCE = "X-Source-Headers"
+FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type", "WARC-Block-Digest", "WARC-Payload-Digest", "X-Page-ID", "Content-Length")
+
+
 def pack(r: dict) -> bytes:
     """A record as its bytes in a WARC file."""
     body = r["content"].encode()
-    head = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r.get("refers_to")), ("WARC-Target-URI", r.get("target_uri")), ("WARC-Date", r["warc_date"]), ("Content-Type", r["content_type"]), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Payload-Digest", r.get("payload_digest")), ("X-Page-ID", r.get("page_id"))]
-    lines = "".join(f"{k}: {v}\r\n" for k, v in head if v is not None)
+    values = (r["record_type"], r["record_id"], r.get("refers_to"), r.get("target_uri"), r["warc_date"], r["content_type"], r["block_digest"], r.get("payload_digest"), r.get("page_id"))
+    head = [*zip(FIELDS, values), (SOURCE, r.get("headers"))]
+    # no value may end its line
+    lines = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', str(v))}\r\n" for k, v in head if v is not None)
     return f"WARC/1.0\r\n{lines}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
+def records(stream) -> Iterator[dict]:
+    """The records of a WARC file that is open for reading, plain or compressed, one at a time. A broken tail ends it; a record without length is passed over.
+
+    ``headers`` are the source's, where the record holds them, else those of its own named fields that have no column; null without any.
+    """
+    stream = io.BufferedReader(stream)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                head[k.strip()] = v.strip()
+            if not line:
+                return
+            low = {k.lower(): v for k, v in head.items()}
+            if not low.get("content-length", "").isdigit():
+                continue
+            size = int(low["content-length"])
+            body = stream.read(size)
+            if len(body) < size:
+                return
+            page = low.get("x-page-id")
+            known = {f.lower() for f in FIELDS}
+            own = low.get(SOURCE.lower()) or json.dumps(rest, ensure_ascii=False, sort_keys=True) if (rest := {k: v for k, v in head.items() if k.lower() not in known}) else None
+            yield {
+                "page_id": int(page) if page and page.lstrip("-").isdigit() else None, "record_type": low.get("warc-type"), "record_id": low.get("warc-record-id"), "refers_to": low.get("warc-refers-to"), "target_uri": low.get("warc-target-uri"), "warc_date": low.get("warc-date"),
+                "content_type": low.get("content-type"), "block_digest": low.get("warc-block-digest"), "payload_digest": low.get("warc-payload-digest"), "content_length": size, "headers": own, "content": body.decode("utf-8", "replace"),
+            }
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
+
+
 def unpack(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or compressed. A broken tail ends it."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        split = data.find(b"\r\n\r\n", at)
-        if split < 0:
-            return
-        head = {}
-        for line in data[at:split].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            head[k.strip().lower()] = v.strip()
-        try:
-            size = int(head["content-length"])
-        except (KeyError, ValueError):
-            at = split + 4
-            continue
-        body = data[split + 4 : split + 4 + size]
-        if len(body) < size:
-            return
-        at = split + 4 + size
-        page = head.get("x-page-id")
-        yield {
-            "page_id": int(page) if page and page.lstrip("-").isdigit() else None, "record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "refers_to": head.get("warc-refers-to"), "target_uri": head.get("warc-target-uri"), "warc_date": head.get("warc-date"),
-            "content_type": head.get("content-type"), "block_digest": head.get("warc-block-digest"), "payload_digest": head.get("warc-payload-digest"), "content_length": size, "headers": None, "content": body.decode("utf-8", "replace"),
-        }
+    """:func:`records` of the bytes of a file."""
+    return records(io.BytesIO(data))
+
+
+def file_system(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def response(page_id: int | None, url: str | None, page: str | None, date: str = EPOCH) -> dict:
@@ -116,6 +146,8 @@ def derive(r: dict) -> tuple[dict, dict]:
     status, *lines = head.split("\r\n")
     http = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip()}
     source = {"WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Date": r["warc_date"], "WARC-Block-Digest": r["block_digest"], "WARC-Payload-Digest": r["payload_digest"], "HTTP-Status": status, "HTTP-Headers": http}
+    if r.get("headers"):  # the response's further fields, as a file had them
+        source["WARC-Headers"] = json.loads(r["headers"])
     headers = json.dumps(source, ensure_ascii=False, sort_keys=True)
     out = []
     text = plain(page)
@@ -161,12 +193,16 @@ def derivatives(records: DataFrame) -> DataFrame:
                 rows = [d for r in b.slice(at, 256).to_pylist() for d in derive(r | {"content": r["content"] or ""})]
                 yield batch(rows)
 
-    need = ["page_id", "record_id", "target_uri", "warc_date", "block_digest", "payload_digest", "content"]
+    need = ["page_id", "record_id", "target_uri", "warc_date", "block_digest", "payload_digest", "headers", "content"]
     return records.filter(records["record_type"] == "response").select(*(records[c] for c in need)).mapInArrow(run, RECORD)
 
 
-def page_derivatives(pages: DataFrame, date: str = EPOCH) -> DataFrame:
-    """:func:`derivatives` of :func:`responses`, fused so that the page crosses to Python once."""
+def page_derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = EPOCH) -> DataFrame:
+    """:func:`derivatives` of :func:`responses`, fused so that the page crosses to Python once.
+
+    Null ids and urls stay null; a null or empty page gives two records with empty content and no links; pages are read
+    whole, however long; repeated rows give repeated records with equal ids; an empty table gives none. Other columns play no part.
+    """
     prepare(pages.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,52 +210,62 @@ def page_derivatives(pages: DataFrame, date: str = EPOCH) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 yield batch([d for x in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)) for d in derive(response(*x, date))])
 
-    return pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html")).mapInArrow(run, RECORD)
+    return pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).mapInArrow(run, RECORD)
 
 
-def write(records: DataFrame, path: str) -> DataFrame:
+def write(records_: DataFrame, path: str) -> DataFrame:
     """Write ``path/part-*.warc.gz``, one member a record; returns (file, records).
 
-    Names follow from the partition, and a file is renamed into place when whole,
-    so a repeated task replaces its own file. ``path`` must be a mounted folder.
+    Names follow from the partition, and a file is moved into place when whole,
+    so a repeated task replaces its own file. ``path`` is a folder or a URI that all workers reach. Fields that are
+    null are left out, null content is empty, source headers stand in a field of their own; repeated rows are written
+    as often; an empty partition gives an empty file.
     """
-    prepare(records.sparkSession)
+    prepare(records_.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
-        os.makedirs(path, exist_ok=True)
+        system, folder = file_system(path)
+        system.create_dir(folder, recursive=True)
         ctx = TaskContext.get()
-        name = f"{path}/part-{ctx.partitionId():05d}.warc.gz"
+        name = f"{folder}/part-{ctx.partitionId():05d}.warc.gz"
         n = 0
-        with open(tmp := f"{name}.{ctx.taskAttemptId()}", "wb") as f:
+        with system.open_output_stream(tmp := f"{name}.{ctx.taskAttemptId()}", compression=None) as f:
             for b in it:
-                for r in b.to_pylist():
-                    f.write(gzip.compress(pack(r), 6, mtime=0))
-                    n += 1
-        os.replace(tmp, name)
+                for at in range(0, b.num_rows, 256):
+                    for r in b.slice(at, 256).to_pylist():
+                        f.write(gzip.compress(pack(r | {"content": r["content"] or ""}), 6, mtime=0))
+                        n += 1
+        system.move(tmp, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["file", "records"])
 
-    return records.select(*(records[n] for n in NAMES)).mapInArrow(run, "file string, records long")
+    return records_.select(*(records_[n] for n in NAMES)).mapInArrow(run, "file string, records long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files below ``path``. ``headers`` is null."""
+    """The records of the WARC files below ``path``, by :func:`records`.
+
+    A file is read as a stream, so only one record and the batch of at most 256 records or 16 MB that it is in are in memory, whatever the size
+    of the file. Empty files have no records; a folder without WARC files gives an empty table.
+    """
     prepare(spark)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for data in b.column(0):
-                held = []
-                for r in unpack(data.as_py()):
-                    held.append(r)
-                    if len(held) == 256:
-                        yield batch(held)
-                        held = []
+            for name in b.column(0).to_pylist():
+                system, at = file_system(name)
+                held, size = [], 0
+                with system.open_input_file(at) as f:
+                    for r in records(f):
+                        held.append(r)
+                        size += r["content_length"]
+                        if len(held) == 256 or size > 1 << 24:
+                            yield batch(held)
+                            held, size = [], 0
                 if held:
                     yield batch(held)
 
+    # paths only: contents are opened where they are read
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("path").rlike(r"\.warc(\.gz)?$")).select("content").mapInArrow(run, RECORD)
+    return files.filter(F.col("path").rlike(r"\.warc(\.gz)?$")).select("path").mapInArrow(run, RECORD)
