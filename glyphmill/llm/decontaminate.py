@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, binary, prepare, texts
+from .common import batches, binary, prepare, texts, unused
 from .textvec import U, distinct, grams, signed, words
 
 #: The shortest tile, in words; the share of a passage that tiles must cover.
 MIN_MATCH, COVERAGE = 5, 0.5
-#: Characters of benchmark text up to which it is broadcast.
-BROADCAST_CHARS = 32 << 20
+#: Bytes up to which the benchmark's index is broadcast. It takes 32 bytes a word and 1 MiB, so 16 bytes a character at most.
+INDEX_BYTES = 128 << 20
 OUT = "doc_id long, item_id long, coverage double, tiles int, words int"
 
 
@@ -117,21 +117,21 @@ def passages(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def small_index(bench: DataFrame, seed: int, limit: int) -> Index | None:
-    """The index of a benchmark of at most ``limit`` characters."""
-    if (bench.agg(F.sum(F.length("text"))).first()[0] or 0) > limit:
+    """The index of a benchmark, if it can't take more than ``limit`` bytes."""
+    if 16 * (bench.agg(F.sum(F.length("text"))).first()[0] or 0) + (1 << 20) > limit:
         return None
     rows = sorted((r.doc_id, r.text) for r in bench.collect())
     w = words(pa.array([t for _, t in rows], pa.string()))
     return Index([i for i, _ in rows], w.hashes, w.off, seed)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``(doc_id, item_id, coverage, tiles, words)`` of documents that hold benchmark passages.
 
     ``coverage`` is the share of the passage's words under tiles of at least
     ``min_match`` words, wherever and in whatever order they stand in the document.
 
-    A benchmark of at most ``broadcast_chars`` is broadcast as an index of seeds,
+    A benchmark whose index takes at most ``index_bytes`` is broadcast,
     and documents are tiled where they are read, without a shuffle. A larger one is
     joined to the documents by seed hash, and pairs whose shared seeds could reach
     the threshold are brought together and tiled: the same rows.
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH,
     spark = docs.sparkSession
     prepare(spark)
     d, b = texts(docs, id_col, text_col).filter("doc_id is not null"), passages(bench, item_col, item_text)
-    index = small_index(b, min_match, broadcast_chars)
+    index = small_index(b, min_match, index_bytes)
     if index is None:
         return by_shuffle(d, b, min_match, coverage)
     shared = spark.sparkContext.broadcast(index)
@@ -223,21 +223,24 @@ def by_shuffle(d: DataFrame, b: DataFrame, seed: int, coverage: float) -> DataFr
     return both.select("doc_id", "item_id", "dw", "iw").mapInArrow(tile, OUT.replace("long", kind, 1))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark passage.
 
-    Every row is judged by its own text, also one with a null id, whatever the size of the benchmark.
+    Every row is judged by its own text, also one with a null id, whatever the size of the benchmark: repeated rows stay or go
+    together, and texts that differ under one id are judged apart. Null, empty and wordless texts stay; texts are read whole. An empty benchmark, or
+    one of null and too short passages, keeps all rows; an empty table stays empty. Other columns may have any name.
     """
     spark = docs.sparkSession
     prepare(spark)
     b = passages(bench, item_col, item_text)
-    index = small_index(b, min_match, broadcast_chars)
+    index = small_index(b, min_match, index_bytes)
     if index is None:
         # a text is known by its digest, so the ids play no part
         digest = lambda text: F.unhex(F.sha2(text, 256))
+        (name,) = unused(docs, "bad")
         d = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).distinct()
-        bad = by_shuffle(d.select(digest(F.col("text")).alias("doc_id"), "text"), b, min_match, coverage).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, digest(docs[text_col].cast("string")) == bad["__bad"], "left_anti")
+        bad = by_shuffle(d.select(digest(F.col("text")).alias("doc_id"), "text"), b, min_match, coverage).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(bad, digest(docs[text_col].cast("string")) == bad[name], "left_anti")
     shared = spark.sparkContext.broadcast(index)
     at = docs.columns.index(text_col)
 

@@ -1,4 +1,5 @@
 import os
+import random
 import re
 
 import numpy as np
@@ -82,39 +83,63 @@ def test_against_brute_force(case):
 
 def test_the_shuffled_way_is_the_same(case):
     d, b, want = case
-    assert got(contamination(d, b, broadcast_chars=0)) == want
+    assert got(contamination(d, b, index_bytes=0)) == want
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [0, 1 << 26])
 def test_items_that_repeat_a_seed(spark, limit):
     items = ["a b c d e " * 20, "x y z " * 15 + passage(80, 6), passage(81, 40), passage(82, 60)]
     rows = [passage(83, 50) + " " + items[0] + passage(84, 50), items[1], "a b c d e " * 9, "a b c d e " * 10, items[2] + " " + items[3]]
     d, b = docs(spark, rows), bench(spark, items).selectExpr("if(item_id = 3, 2L, item_id) AS item_id", "text")  # two items of one id
     want = brute(list(enumerate(rows)), list(zip([0, 1, 2, 2], items)))
     assert {(0, 0), (1, 1), (3, 0), (4, 2)} == {x[:2] for x in want} and len(want) == 5
-    assert got(contamination(d, b, broadcast_chars=limit)) == want
+    assert got(contamination(d, b, index_bytes=limit)) == want
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_both_ways_on_many_small_texts(spark):
+    """Few different words, so that seeds repeat in items and documents; repeated ids and texts on both sides."""
+    r = random.Random(6)
+    some = lambda n: " ".join(r.choice("la le lu".split()) for _ in range(n))
+    items = [(k % 20, some(r.randint(3, 25))) for k in range(30)] + [(3, "la " * 30), (None, some(20)), (4, None)]
+    rows = [(k % 50, some(r.randint(0, 40))) for k in range(60)] + [(7, "la " * 30), (8, items[0][1]), (8, items[0][1]), (None, items[1][1])]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute([x for x in rows if x[0] is not None], [x for x in items if x[0] is not None])
+    clean = sorted(map(str, [x for x in rows if not brute([(0, x[1])], [y for y in items if y[0] is not None])]))
+    assert len(want) > 50 and len(clean) > 5
+    for limit in (0, 1 << 26):
+        assert got(contamination(d, b, index_bytes=limit)) == want
+        assert sorted(str(tuple(x)) for x in decontaminate(d, b, index_bytes=limit).collect()) == clean
+
+
+def test_columns_with_the_names_of_our_own(case, spark):
+    d, b, want = case
+    for c in ("bad", "__bad", "tkey", "ikey", "h", "key"):
+        d = d.withColumn(c, d["source"])
+    for limit in (0, 1 << 26):
+        out = decontaminate(d, b, index_bytes=limit)
+        assert out.columns == d.columns and {r.doc_id for r in out.collect()} == set(range(10)) - {x[0] for x in want}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 26])
 def test_decontaminate_keeps_the_rest(case, limit):
     d, b, want = case
-    kept = {r.doc_id for r in decontaminate(d, b, broadcast_chars=limit).collect()}
+    kept = {r.doc_id for r in decontaminate(d, b, index_bytes=limit).collect()}
     assert kept == set(range(10)) - {x[0] for x in want}
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [0, 1 << 26])
 def test_decontaminate_judges_rows_by_their_text(spark, limit):
     item, clean = passage(90, 40), passage(91, 40)
     d = spark.createDataFrame([(1, clean), (1, item), (None, item), (None, clean), (2, clean), (None, None), (3, None)], "doc_id long, text string")
-    out = decontaminate(d, bench(spark, [item]), broadcast_chars=limit).collect()
+    out = decontaminate(d, bench(spark, [item]), index_bytes=limit).collect()
     assert sorted(map(str, out)) == sorted(str(r) for r in d.collect() if r.text != item)
 
 
 def test_awkward_rows(spark):
     df, b = awkward(spark), bench(spark, [passage(1, 120), None, "", passage(7, 30)])
     assert {r[0] for r in got(contamination(df, b))} == {1, 2}
-    for limit in (0, 1 << 20):
-        out = decontaminate(df, b, broadcast_chars=limit)
+    for limit in (0, 1 << 26):
+        out = decontaminate(df, b, index_bytes=limit)
         assert out.schema == df.schema
         ids = [r.doc_id for r in out.collect()]
         assert 1 not in ids and 2 not in ids and {3, 4, 5, 6, 7, 8, 9} <= set(ids)

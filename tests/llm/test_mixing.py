@@ -104,3 +104,12 @@ def test_query_meets_its_targets(spark):
     out = [tuple(r) for r in entry.queries()["op10_mix_sources"](spark, sf).collect()]
     assert sorted(x[0] for x in out) == sorted(r[0] for r in rows)
     holds(rows, out)
+
+
+def test_columns_with_the_names_of_our_own(spark):
+    df = corpus(spark, 40)
+    for c in ("drawn_id", "DRAWN_SOURCE", "drawn_copies", "__qd", "__qs", "__qn", "td", "extra", "of"):
+        df = df.withColumn(c, df["source"])
+    out = mix_documents(df)
+    assert out.columns == [*df.columns, "copies"]
+    assert {r.doc_id: r.copies for r in out.collect()} == {r.doc_id: r.copies for r in mix_sources(df).collect() if r.copies}

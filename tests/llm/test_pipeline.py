@@ -66,3 +66,13 @@ def test_awkward_rows_pass_every_stage(spark, tmp_path):
         assert [c for c in out.columns if c != "copies"] == docs.columns
         out.write.parquet(path := str(tmp_path / f"{k}"))
         docs = spark.read.parquet(path)
+
+
+def test_an_empty_table_passes_every_stage(spark, tmp_path):
+    if not os.path.isdir(SF):
+        pytest.skip("no data")
+    docs = awkward(spark).drop("copies").limit(0)
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, SF).write.parquet(path := str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(path)
+        assert docs.count() == 0
