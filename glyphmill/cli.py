@@ -24,10 +24,16 @@ def content(flags: list[str] | None) -> tuple[str, ...]:
     return KINDS if "all" in flags else tuple(dict.fromkeys(flags))
 
 
+def note(index: ix.Index, rows, call: str) -> None:
+    """Add what a call showed to the usage records, for the report on savings."""
+    telemetry.append(telemetry.record(rows, index.sizes(), call), telemetry.default_file())
+
+
 def search_output(index: ix.Index, query: str, top_k: int = 5) -> str:
     rows = index.search(query, top_k) if query.strip() and top_k > 0 else None
     if rows is None or not rows.head(1):
-        return json.dumps({"error": "No results found."})
+        return json.dumps({"error": "nothing found"})
+    note(index, rows, "search")
     return ix.payload(query, rows)
 
 
@@ -36,13 +42,14 @@ def related_output(index: ix.Index, file: str, line: str | int, top_k: int = 5)
     try:
         n = int(line)
     except ValueError:
-        raise ValueError(f"line must be an integer, got: {line}") from None
+        raise ValueError(f"{line} is no line number") from None
     seed = index.resolve(file, n)
     if seed is None:
-        raise ValueError(f"No chunk found at {file}:{n}.")
+        raise ValueError(f"The index has no chunk at {file}:{n}.")
     rows = index.find_related(seed, top_k)
     if not rows.head(1):
-        return json.dumps({"error": f"No related chunks found for {file}:{n}."})
+        return json.dumps({"error": f"nothing is related to {file}:{n}"})
+    note(index, rows, "find_related")
     return ix.payload(f"Chunks related to {file}:{n}", rows)
 
 
@@ -58,14 +65,13 @@ def call_tool(session: ix.Session, name: str, args: dict, default: str | None =
         index = session.find(args.get("repo"), default, ref)
     except Exception as e:
         source = args.get("repo") or default
-        known = isinstance(e, ValueError) and str(e).startswith(("Only ", "No repo"))
-        return str(e) if known else f"Failed to index {json.dumps(source)}: {e}"
+        return str(e) if isinstance(e, ix.BadSource) else f"{json.dumps(source)} can't be indexed: {e}"
     if name == "search":
         return search_output(index, args["query"], int(args.get("top_k", 5)))
     try:
         return related_output(index, args["file_path"], args["line"], int(args.get("top_k", 5)))
     except ValueError as e:
-        return f"{e} Make sure the file is indexed and the line number is within a known chunk."
+        return f"{e} Paths and lines are those of search results."
 
 
 def serve(session: ix.Session, default: str | None, ref: str | None, lines=None, out=None) -> None:
@@ -122,13 +128,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.what in ("all", "index"):
             try:
                 path, cleared, n = ix.clear_cache()
-                print(f"Cleared {n} cached index entries at `{path}`" if cleared else f"No index cache found at `{path}`")
+                print(f"{path}: {n} indexes deleted" if cleared else f"{path}: nothing to delete")
             except (OSError, ValueError) as e:
                 print(e, file=sys.stderr)
                 failed = 1
         if a.what in ("all", "savings"):
             path = telemetry.default_file()
-            print(f"Cleared savings at `{path}`" if telemetry.clear(path) else f"No savings file found at `{path}`")
+            print(f"{path}: deleted" if telemetry.clear(path) else f"{path}: nothing to delete")
         return failed
     spark = spark or build(master="local[*]")
     try:

@@ -12,19 +12,29 @@ import tempfile
 from collections import OrderedDict
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from glyphmill import telemetry
 from glyphmill.functions import paths
+from glyphmill.functions.text import utf16_length
 from glyphmill.operators import bm25, chunking, dense, lookup
 from glyphmill.plans import search
 from glyphmill.plans.search import TOP_K
+from glyphmill.session import ship, stash, work_folder
 from glyphmill.sources import git, walk
 from glyphmill.sources.languages import CONTENT
 
 VERSION = 1
 TABLES = ("chunks", "postings", "terms", "corpus", "vectors")
+#: The columns that a stored index must have.
+NEED = {
+    "chunks": {"chunk_id": "bigint", "content": "string", "file_path": "string", "start_line": "bigint", "end_line": "bigint", "language": "string"},
+    "postings": {"term": "string", "chunk_id": "bigint", "tf": "int", "dl": "bigint"}, "terms": {"term": "string", "df": "bigint"},
+    "corpus": {"n": "bigint", "avgdl": "double"}, "vectors": {"chunk_id": "bigint", "v": "array<float>"},
+}
 CHUNK_SCHEMA = "chunk_id long, content string, file_path string, start_line long, end_line long, language string"
 ROW = ("content", "file_path", "start_line", "end_line", "language")
 
@@ -37,6 +47,18 @@ def known_content(content) -> tuple[str, ...]:
     return out
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``chunk_id`` from 0 in an order that has no ties: ranges are numbered apart, and the driver adds up their sizes."""
+    ranges = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    own = stash(ranges.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1), "ranges")
+    start, starts = 0, []
+    for r in own.groupBy("__range").count().orderBy("__range").collect():  # one row a partition
+        starts.append((r["__range"], start))
+        start += r["count"]
+    first = rows.sparkSession.createDataFrame(starts, "__of int, __first long")
+    return own.join(F.broadcast(first), F.col("__range") == F.col("__of")).withColumn("chunk_id", F.col("__first") + F.col("__n")).drop("__range", "__n", "__of", "__first")
+
+
 class Index:
     """A searchable index. All tables are DataFrames keyed by ``chunk_id``; results are DataFrames too."""
 
@@ -49,35 +71,34 @@ class Index:
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, model_path: str | None = None, content=None, work: str | None = None) -> Index:
-        """Index a folder. Tables are written below ``work`` (a temporary folder by default) and read back."""
+        """Index a folder. Tables are written below ``work`` (by default the shared folder for work tables) and read back."""
         if not os.path.exists(path):
-            raise FileNotFoundError(f"Path does not exist: {path}")
+            raise FileNotFoundError(f"nothing at {path}")
         if not os.path.isdir(path):
-            raise NotADirectoryError(f"Path is not a directory: {path}")
+            raise NotADirectoryError(f"{path} is no folder")
         kinds = known_content(content)
         rows = walk.decoded(walk.files(spark, path, kinds))
         parts = chunking.chunk_files(rows.select("file_path", "text", "language"))
         order = rows.select(F.col("file_path").alias("__p"), F.col("ord").alias("__o"))
-        # ids go by file in the order of the walk, then by place: a numbering, so one ordered window
-        n = Window.orderBy("__o", "ord")
-        chunks = parts.join(order, F.col("file_path") == F.col("__p")).withColumn("chunk_id", (F.row_number().over(n) - 1).cast("long")).select("chunk_id", *ROW)
-        return cls.from_chunks(spark, chunks, dense.load_model(model_path), path, kinds, work, f"No supported files found under {path}.")
+        # ids go by file in the order of the walk, then by place
+        chunks = numbered(parts.join(order, F.col("file_path") == F.col("__p")), ["__o", "ord"]).select("chunk_id", *ROW)
+        return cls.from_chunks(spark, chunks, dense.load_model(model_path), path, kinds, work, f"{path} has no file of a known kind")
 
     @classmethod
-    def from_chunks(cls, spark: SparkSession, chunks: DataFrame, model, root: str | None, content: tuple[str, ...], work: str | None = None, empty: str = "No chunks.") -> Index:
+    def from_chunks(cls, spark: SparkSession, chunks: DataFrame, model, root: str | None, content: tuple[str, ...], work: str | None = None, empty: str = "an index needs a chunk") -> Index:
         """Index a table of chunks."""
-        folder = work or tempfile.mkdtemp(prefix="glyphmill-index-")
+        folder = work or work_folder(spark, "index")
         put = lambda df, name: (df.write.mode("overwrite").parquet(f"{folder}/{name}"), spark.read.parquet(f"{folder}/{name}"))[1]
         chunks = put(chunks.select("chunk_id", *ROW), "chunks")
         if not chunks.head(1):
             raise ValueError(empty)
-        built = bm25.build(put(bm25.chunk_terms(chunks), "counted"))
+        built = bm25.build(counted := put(bm25.chunk_terms(chunks), "counted"))
         # sorted by term: a search reads only the row groups of its terms
         posted = put(built.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
         terms = put(posted.groupBy("term").agg(F.count("*").alias("df")), "terms")
         stats = put(built.corpus, "corpus")
         vectors = put(dense.embed(chunks, model), "vectors")
-        out = cls(spark, chunks, bm25.Postings(posted, terms, stats), vectors, model, root, content)
+        out = cls(spark, chunks, bm25.Postings(posted, terms, stats, counted), vectors, model, root, content)
         out._files = folder
         return out
 
@@ -128,6 +149,10 @@ class Index:
         r = lookup.resolve(self.chunks, place).join(self.chunks, "chunk_id").first()
         return {c: r[c] for c in ROW} if r else None
 
+    def sizes(self) -> DataFrame:
+        """``(file_path, chars)``: the UTF-16 units of each file's chunks."""
+        return self.chunks.groupBy("file_path").agg(F.sum(utf16_length(F.col("content"))).alias("chars"))
+
     def stats(self) -> dict:
         """Files, chunks, and chunks by language in order."""
         s = lookup.index_stats(self.chunks).first()
@@ -142,12 +167,8 @@ class Index:
     # storing
 
     def chunk_hash(self) -> str:
-        """A digest of all chunks in order: of the digests of the rows."""
-        rows = self.chunks.select("chunk_id", F.sha2(F.to_json(F.struct(*ROW)), 256).alias("h")).orderBy("chunk_id").toLocalIterator()
-        h = hashlib.sha256()
-        for r in rows:
-            h.update(r.h.encode())
-        return h.hexdigest()
+        """A digest of all chunks with their ids."""
+        return digest(self.chunks.select(F.sha2(F.to_json(F.struct("chunk_id", *ROW)), 256).alias("h"))).first().digest
 
     def save(self, folder: str, content_hash: str | None = None) -> None:
         """Write the tables, and the manifest last: an index without one isn't whole."""
@@ -168,19 +189,26 @@ class Index:
     def load(cls, spark: SparkSession, folder: str) -> Index:
         """Read a stored index; every table must be there, and the version right."""
         if not os.path.isdir(folder):
-            raise FileNotFoundError(f"Index not found: {folder}")
+            raise FileNotFoundError(f"no index in {folder}")
         for name in ("manifest.json", *TABLES):
             if not os.path.exists(os.path.join(folder, name)):
-                raise FileNotFoundError(f"Missing: {os.path.join(folder, name)}")
+                raise FileNotFoundError(f"the index lacks {os.path.join(folder, name)}")
         m = read_manifest(folder)
         if m["schemaVersion"] != VERSION:
-            raise ValueError(f"Index schema version mismatch: expected {VERSION}, got {m['schemaVersion']}")
+            raise ValueError(f"the index is of version {m['schemaVersion']}, this engine reads {VERSION}")
         t = {n: spark.read.parquet(os.path.join(folder, n)) for n in TABLES}
-        first = t["vectors"].select(F.size("v").alias("n")).first()
+        for name, need in NEED.items():
+            if missing := [c for c, kind in need.items() if dict(t[name].dtypes).get(c) != kind]:
+                raise ValueError(f"{name}: column {missing[0]} isn't there as {need[missing[0]]}")
+        v = t["vectors"].agg(F.count("v").alias("n"), F.count_distinct("chunk_id").alias("ids"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+        chunks = t["chunks"].count()
+        if v.least != v.most or not v.n == v.ids == chunks or v.most != m.get("dim", v.most):
+            raise ValueError(f"{chunks} chunks, {v.n} vectors of {v.ids} chunks, with {v.least} to {v.most} values instead of {m.get('dim', v.most)}")
         model = dense.load_model(m["modelId"])
-        if first and model.dim != first.n:
-            model = dense.StubModel(first.n)
-        out = cls(spark, t["chunks"], bm25.Postings(t["postings"], t["terms"], t["corpus"]), t["vectors"], model, m["sourceId"], tuple(m["content"]))
+        if v.most and model.dim != v.most:
+            model = dense.StubModel(v.most)
+        counted = spark.read.parquet(os.path.join(folder, "counted")) if os.path.exists(os.path.join(folder, "counted")) else None
+        out = cls(spark, t["chunks"], bm25.Postings(t["postings"], t["terms"], t["corpus"], counted), t["vectors"], model, m["sourceId"], tuple(m["content"]))
         out._files = folder
         return out
 
@@ -190,7 +218,7 @@ def read_manifest(folder: str) -> dict:
     with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
         m = json.load(f)
     if not isinstance(m, dict):
-        raise ValueError("Invalid manifest: not an object")
+        raise ValueError("the manifest is no object")
     whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 1 << 32
     checks = {
         "schemaVersion": whole, "contentHash": lambda x: isinstance(x, str), "sourceId": lambda x: x is None or isinstance(x, str), "modelId": lambda x: isinstance(x, str),
@@ -198,7 +226,7 @@ def read_manifest(folder: str) -> dict:
     }
     for key, ok in checks.items():
         if not ok(m.get(key)):
-            raise ValueError(f"Invalid manifest: {key}")
+            raise ValueError(f"the manifest's {key} is wrong")
     return {"sourceId": None, "chunkSize": None} | m
 
 
@@ -232,6 +260,20 @@ def cache_dir(source: str, content: tuple[str, ...], base: str | None = None, re
     return os.path.join(cache_root(base), hashlib.sha256(key.encode()).hexdigest()[:32])
 
 
+def keyed(rows: DataFrame, content: tuple[str, ...]) -> DataFrame:
+    """The rows with their ``source`` in normal form and ``key``, the name of its index's folder."""
+    ship(rows.sparkSession)
+
+    def run(it):
+        for b in it:
+            at = b.schema.get_field_index("source")
+            normal = [None if s is None else normal_source(s) for s in b.column(at).to_pylist()]
+            keys = [None if s is None else os.path.basename(cache_dir(s, content, "/")) for s in normal]
+            yield pa.RecordBatch.from_arrays([*(c if k != at else pa.array(normal, pa.string()) for k, c in enumerate(b.columns)), pa.array(keys, pa.string())], [*b.schema.names, "key"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("key", StringType())]))
+
+
 def ensure_dir(folder: str, base: str | None = None) -> None:
     """Make the folder; it and those above it up to the cache's home are for the user alone."""
     os.makedirs(folder, exist_ok=True)
@@ -244,13 +286,25 @@ def ensure_dir(folder: str, base: str | None = None) -> None:
         at = os.path.dirname(at)
 
 
+def digest(hashes: DataFrame) -> DataFrame:
+    """``(n, digest)`` of rows with a SHA-256 ``h``, in any order: of their number and the sums of the eight parts of each.
+
+    The sums are partial where the rows are, so nothing but one row comes together.
+    """
+    part = lambda k: F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)"))
+    sums = hashes.agg(F.count("*").alias("n"), *(F.coalesce(part(k), F.lit(0)).cast("string").alias(f"s{k}") for k in range(8)))
+    return sums.select("n", F.sha2(F.concat_ws(",", F.col("n").cast("string"), *(f"s{k}" for k in range(8))), 256).alias("digest"))
+
+
+def file_hashes(rows: DataFrame) -> DataFrame:
+    """``h`` of files ``(path, bytes)``, each hashed where it is read."""
+    head = F.encode(F.concat(utf16_length(F.col("path")).cast("string"), F.lit(":"), F.col("path")), "utf-8")
+    return rows.select(F.sha2(F.concat(head, F.col("bytes")), 256).alias("h"))
+
+
 def content_hash(rows: DataFrame) -> str:
-    """A digest of files ``(path, bytes)`` that doesn't depend on their order: each file is hashed where it is read."""
-    part = F.sha2(F.concat(F.encode(F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path")), "utf-8"), F.col("bytes")), 256)
-    h = hashlib.sha256()
-    for r in rows.select("path", part.alias("h")).orderBy("path").toLocalIterator():
-        h.update(r.h.encode())
-    return h.hexdigest()
+    """A digest of files ``(path, bytes)`` that doesn't depend on their order."""
+    return digest(file_hashes(rows)).first().digest
 
 
 def load_or_build(spark: SparkSession, source: str, content=None, base: str | None = None, ref: str | None = None, model_path: str | None = None) -> Index:
@@ -289,12 +343,16 @@ def clear_cache(base: str | None = None) -> tuple[str, bool, int]:
         return root, False, 0
     real, home = os.path.realpath(root), os.path.realpath(base or telemetry.home())
     if os.path.basename(real) != "index" or os.path.dirname(real) != home:
-        raise ValueError(f"Refusing to clear unsafe index path: {real}")
+        raise ValueError(f"{real} isn't the cache's own folder, so nothing is deleted")
     n = len(os.listdir(real))
     shutil.rmtree(real)
     return root, True, n
 
 
+class BadSource(ValueError):
+    """A source that a tool call can't name."""
+
+
 class Session:
     """Up to ``most`` indexes by source, the least recently used goes first; a failed build isn't kept."""
 
@@ -323,10 +381,10 @@ class Session:
     def find(self, repo: str | None, default: str | None = None, default_ref: str | None = None) -> Index:
         """The index that a tool call means; only https, http and local folders can be named in one."""
         if repo and git.looks_remote(repo) and not repo.startswith(("https://", "http://")):
-            raise ValueError(f"Only https://, http://, or local directory paths are accepted as `repo`. Got: {json.dumps(repo)}")
+            raise BadSource(f"A tool call can name a local folder or an http(s) address; this is neither: {json.dumps(repo)}")
         source = repo or default
         if not source:
-            raise ValueError("No repo specified and no default index. Pass an https:// or http:// git URL or local directory path as `repo`.")
+            raise BadSource("Nothing to search: name a folder or an http(s) address of a repository in `repo`")
         return self.get(source, None if repo else default_ref)
 
 

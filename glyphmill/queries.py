@@ -316,20 +316,121 @@ def language_extensions(spark: SparkSession, sf: str) -> DataFrame:
     return languages.by_language(languages.extension_table(spark))
 
 
-@query(r"SELECT page_id, regexp_matches(url, '^(?:https?|ssh|git|git\+ssh|file)://') AS is_git FROM pages")
+@query(r"SELECT page_id, CASE page_id % 4 WHEN 0 THEN starts_with(url, 'http') WHEN 1 THEN true WHEN 2 THEN page_id % 3 <> 0 ELSE false END AS is_git FROM pages")
 def git_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Which sources are remote: the pages' addresses, and made-up names of repositories and folders."""
     from glyphmill.sources.git import is_git_url
 
-    return table(spark, sf, "pages").select("page_id", is_git_url(F.col("url")).alias("is_git"))
+    host = F.concat(F.lit("me@h"), F.col("page_id"), F.when(F.pmod("page_id", F.lit(3)) == 0, ":/abs").otherwise(":a/b.git"))
+    kind = F.pmod("page_id", F.lit(4))
+    made = F.when(kind == 0, F.col("url")).when(kind == 1, F.concat(F.lit("git+ssh://h/"), F.col("page_id"))).when(kind == 2, host).otherwise(F.concat(F.lit("./p"), F.col("page_id")))
+    return table(spark, sf, "pages").select("page_id", is_git_url(made).alias("is_git"))
 
 
 @query()
 def stub_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """A vector of the stub model for every chunk."""
-    return dense.embed(corpus.chunks(spark, sf), dense.StubModel(16))
+    """A vector of the stub model, at its own size, for every chunk."""
+    return dense.embed(corpus.chunks(spark, sf), dense.StubModel())
 
 
 @query("SELECT chunk_id, file_path || ':' || start_line || '-' || end_line AS location, sha256(content) AS digest FROM chunks")
 def locations(spark: SparkSession, sf: str) -> DataFrame:
     c = corpus.chunks(spark, sf)
     return c.select("chunk_id", paths.location(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("location"), F.sha2("content", 256).alias("digest"))
+
+
+#: Names of files, the families of tests that they are of, and the factor that follows.
+_NAMES = (
+    ("lib/tide.test.mjs", 1.0), ("lib/tide.test.jsx", 0.3), ("lib/test_tide.py", 0.3), ("lib/tide_test.c", 0.3), ("lib/tide_test.go", 0.3), ("lib/tide_spec.rb", 0.3), ("lib/TideTests.cs", 0.3), ("lib/TideTest.scala", 0.3), ("lib/TideSpec.kt", 0.3),
+    ("lib/TideSuite.scala", 0.3), ("lib/TideSuite.java", 1.0), ("lib/test_helper_tide.x", 0.3), ("spec/tide.rb", 0.3), ("lib/package-info.java", 0.5), ("_compat/tide.rs", 0.3), ("docs_src/__tests__/tide.rs", 0.09), ("example/legacy/tide.d.ts", 0.063), ("latest/tide.rs", 1.0),
+)
+
+
+@query(f"SELECT page_id, l[1 + page_id % {len(_NAMES)}] AS penalty FROM pages, (SELECT {[p for _, p in _NAMES]}::DOUBLE[] AS l)")
+def penalty_families(spark: SparkSession, sf: str) -> DataFrame:
+    """The penalty of a file name of every family of tests, old code and examples."""
+    name = F.element_at(F.array(*(F.lit(n) for n, _ in _NAMES)), (F.pmod("page_id", F.lit(len(_NAMES))) + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", F.round(paths.penalty(name), 9).alias("penalty"))
+
+
+@query("SELECT chunk_id, length(t) + length(regexp_replace(t, '[\\x{0}-\\x{FFFF}]', '', 'g')) AS units FROM (SELECT chunk_id, content || repeat(chr(128512), (chunk_id % 5)::INTEGER) AS t FROM chunks)")
+def utf16_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """The length in UTF-16 units of every content, some with characters beyond 16 bits."""
+    more = F.expr("repeat('\U0001f600', cast(chunk_id % 5 as int))")
+    return corpus.chunks(spark, sf).select("chunk_id", text.utf16_length(F.concat("content", more)).alias("units"))
+
+
+_DIGEST = "SELECT count(*) AS n, sha256(concat_ws(',', count(*), " + ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)" for k in range(8)) + ")) AS digest FROM ({rows})"
+
+
+@query(_DIGEST.format(rows="SELECT sha256((length(file_path)::VARCHAR || ':' || file_path || content)) AS h FROM chunks"))
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of files that tells whether an index is still right."""
+    from glyphmill import index
+
+    return index.digest(index.file_hashes(corpus.chunks(spark, sf).select(F.col("file_path").alias("path"), F.encode("content", "utf-8").alias("bytes"))))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '/r/y' || page_id || '/' END AS source, substr(sha256('{\"content\": [\"code\", \"docs\"], \"model\": null, \"ref\": null, \"source\": \"' || CASE WHEN page_id % 2 = 0 THEN url ELSE '/r/y' || page_id || '/' END || '\"}'), 1, 32) AS key FROM pages")
+def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Normal forms of sources, and the keys that their indexes are kept under."""
+    from glyphmill import index
+
+    made = F.when(F.pmod("page_id", F.lit(2)) == 0, F.col("url")).otherwise(F.concat(F.lit("/r/./x//../y"), F.col("page_id"), F.lit("/")))
+    return index.keyed(table(spark, sf, "pages").select("page_id", made.alias("source")), ("docs", "code"))
+
+
+@query("SELECT 1706270400.0::DOUBLE AS ts, 'search' AS call, count(*) AS results, sum(length(content) + length(regexp_replace(content, '[\\x{0}-\\x{FFFF}]', '', 'g')))::BIGINT AS snippet_chars, (SELECT sum(m)::BIGINT FROM (SELECT file_path, max(start_line) * 10 AS m FROM chunks WHERE chunk_id % 3 <> 0 AND file_path IN (SELECT file_path FROM chunks WHERE chunk_id % 2 = 0) GROUP BY file_path)) AS file_chars FROM chunks WHERE chunk_id % 2 = 0")
+def usage_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The record of results: their characters, and those of their files, of which some are unknown."""
+    c = corpus.chunks(spark, sf)
+    sizes = c.filter(F.pmod("chunk_id", F.lit(3)) != 0).groupBy("file_path").agg((F.max("start_line") * 10).alias("chars"))
+    return telemetry.record(c.filter(F.pmod("chunk_id", F.lit(2)) == 0), sizes, "search", NOW)
+
+
+@query("SELECT query_id, text AS query, count(chunk_id) AS results, max(CASE WHEN rank = 1 THEN file_path || ':' || start_line || '-' || end_line END) AS first, coalesce(round(sum(score), 4), 0) AS total FROM asked LEFT JOIN (SELECT query_id, chunk_id, bm_rank AS rank, round(score, 5)::DOUBLE AS score, file_path, start_line, end_line FROM bmk JOIN chunks USING (chunk_id) WHERE bm_rank <= 3) USING (query_id) GROUP BY ALL")
+def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON of every query's results, read back."""
+    from glyphmill import wire
+
+    q = corpus.queries(spark, sf)
+    top = bm25.best(_index(spark, sf, _asked(spark, sf)), _asked(spark, sf), 3).withColumn("score", F.round(F.col("score").cast("double"), 5))
+    out = wire.payloads(top.join(corpus.chunks(spark, sf), "chunk_id"), q)
+    back = F.from_json("payload", "query string, results array<struct<chunk: struct<location: string>, score: double>>")
+    rows = out.select("query_id", back.alias("b")).select("query_id", "b.query", "b.results")
+    total = F.aggregate("results", F.lit(0.0), lambda a, r: a + r["score"])
+    return rows.select("query_id", "query", F.size("results").cast("long").alias("results"), F.try_element_at("results", F.lit(1))["chunk"]["location"].alias("first"), F.round(total, 4).alias("total"))
+
+
+@query("SELECT chunk_id, 'content,filePath,startLine,endLine,language,location' AS keys, file_path, CASE WHEN chunk_id % 3 <> 0 THEN language END AS language, file_path || ':' || start_line || '-' || end_line AS location, length(content) AS n_chars FROM chunks")
+def wire_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as JSON in the wire's names, read back."""
+    from glyphmill import wire
+
+    c = corpus.chunks(spark, sf).withColumn("language", F.when(F.pmod("chunk_id", F.lit(3)) != 0, F.col("language")))
+    j = c.select("chunk_id", wire.chunk_json().alias("j"))
+    get = lambda k: F.get_json_object("j", f"$.{k}")
+    return j.select("chunk_id", F.array_join(F.json_object_keys("j"), ",").alias("keys"), get("filePath").alias("file_path"), get("language").alias("language"), get("location").alias("location"), F.length(get("content")).cast("long").alias("n_chars"))
+
+
+@query("SELECT chunk_id, CASE chunk_id % 7 WHEN 1 THEN 'no object' WHEN 2 THEN 'content is no string' WHEN 3 THEN 'filePath is no string' WHEN 4 THEN 'startLine is no line' WHEN 5 THEN 'language is no string' END AS error, CASE WHEN chunk_id % 7 IN (0, 6) THEN file_path END AS file_path, CASE WHEN chunk_id % 7 IN (0, 6) THEN end_line END AS end_line FROM chunks")
+def wire_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with JSON chunks, of which five in seven are broken in a way of their own."""
+    from glyphmill import wire
+
+    c = corpus.chunks(spark, sf)
+    j = wire.chunk_json()
+    kind = F.pmod("chunk_id", F.lit(7))
+    field = lambda k, v: F.to_json(F.struct(*(F.lit(v).alias(n) if n == k else F.col(x).alias(n) for x, n in wire.CAMEL.items())))
+    lacking = F.to_json(F.struct("content", F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine")))
+    broken = F.when(kind == 1, F.concat(F.lit("["), j, F.lit("]"))).when(kind == 2, field("content", 5)).when(kind == 3, lacking).when(kind == 4, field("startLine", -1)).when(kind == 5, field("language", True)).otherwise(j)
+    return wire.parsed(c.select("chunk_id", broken.alias("j")), "j", "chunk_id").select("chunk_id", "error", "file_path", "end_line")
+
+
+@query("SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.v, b.v), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.vec_id)::INTEGER AS sem_rank FROM norms a, norms b WHERE a.vec_id % 50 = 0 AND b.vec_id % 7 = a.vec_id % 7 QUALIFY sem_rank <= 5")
+def knn_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one among those of its pool."""
+    v = corpus.vectors(spark, sf)
+    q = v.filter(F.pmod("chunk_id", F.lit(50)) == 0).select(F.col("chunk_id").alias("query_id"), "v", F.pmod("chunk_id", F.lit(7)).alias("r"))
+    pool = v.select("chunk_id", F.pmod("chunk_id", F.lit(7)).alias("r")).join(q.select("query_id", "r"), "r").select("query_id", "chunk_id")
+    return dense.knn_within(v, q, pool, 5).withColumn("similarity", F.round("similarity", 6))

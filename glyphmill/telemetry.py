@@ -114,7 +114,7 @@ def short(n: int, sign: str = "") -> str:
 def report(spark: SparkSession, path: str, now: float | None = None, verbose: bool = False, color: bool | None = None) -> str:
     """The savings as text, for people."""
     if "://" not in path and not os.path.exists(path):
-        return "No stats yet. Run a search first."
+        return "There is nothing to report before the first search."
     on = use_color() if color is None else color
     paint = lambda code, s: f"\x1b[{code}m{s}\x1b[0m" if on else s
     rate = lambda p: paint("32" if p >= 80 else "33" if p >= 50 else "31", f"{p}%")

@@ -101,6 +101,12 @@ def test_build_search_store(spark, repo, tmp_path):
     json.dump(m | {"schemaVersion": 99}, open(tmp_path / "ix" / "manifest.json", "w"))
     with pytest.raises(ValueError):
         ix.Index.load(spark, str(tmp_path / "ix"))
+    json.dump(m, open(tmp_path / "ix" / "manifest.json", "w"))
+    v = spark.read.parquet(str(tmp_path / "ix" / "vectors")).collect()
+    for broken in ([(r.chunk_id, r.v[:-1] if k == 0 else r.v) for k, r in enumerate(v)], [(r.chunk_id, r.v) for r in v[1:]], [(v[0].chunk_id, r.v) for r in v]):
+        spark.createDataFrame(broken, "chunk_id long, v array<float>").write.mode("overwrite").parquet(str(tmp_path / "ix" / "vectors"))
+        with pytest.raises(ValueError):
+            ix.Index.load(spark, str(tmp_path / "ix"))
     json.dump(m | {"content": ["nope"]}, open(tmp_path / "ix" / "manifest.json", "w"))
     with pytest.raises(ValueError):
         ix.read_manifest(str(tmp_path / "ix"))
@@ -108,6 +114,70 @@ def test_build_search_store(spark, repo, tmp_path):
         ix.Index.load(spark, str(tmp_path / "none"))
 
 
+def test_numbered(spark):
+    rows = spark.range(1000).selectExpr("id % 37 as a", "id as b").repartition(7)
+    got = {(r.a, r.b): r.chunk_id for r in ix.numbered(rows, ["a", "b"]).collect()}
+    assert [got[k] for k in sorted(got)] == list(range(1000))
+
+
+def test_digest(spark):
+    rows = spark.createDataFrame([("a", b"x"), ("b", b""), ("c\U0001f600", b"\xff")], "path string, bytes binary")
+    want = ix.content_hash(rows)
+    assert want == ix.content_hash(rows.orderBy(F.desc("path")).repartition(3)) != ix.content_hash(rows.limit(2)) and len(want) == 64
+    assert ix.content_hash(rows.limit(0)) != want
+
+
+def test_wire(spark):
+    from glyphmill import wire
+
+    good = {"content": "x", "filePath": "a.py", "startLine": 1, "endLine": 4294967295, "language": None, "location": "lies:0-0", "more": 1}
+    bad = [("no object", "[1]"), ("no object", "junk"), ("content is no string", json.dumps(good | {"content": 3})), ("filePath is no string", json.dumps({k: v for k, v in good.items() if k != "filePath"})), ("startLine is no line", json.dumps(good | {"startLine": -1})),
+           ("startLine is no line", json.dumps(good | {"startLine": "1"})), ("endLine is no line", json.dumps(good | {"endLine": 4294967296})), ("endLine is no line", json.dumps(good | {"endLine": 1.5})), ("language is no string", json.dumps(good | {"language": 7}))]
+    df = spark.createDataFrame([(0, json.dumps(good)), *((k, t) for k, (_, t) in enumerate(bad, 1))], "k int, j string")
+    got = {r.k: r for r in wire.parsed(df, "j", "k").collect()}
+    assert [got[k].error for k in range(1, len(bad) + 1)] == [e for e, _ in bad]
+    assert tuple(got[0])[1:] == ("x", "a.py", 1, 4294967295, None, None) and got[1].content is None
+    back = wire.checked(df.filter("k = 0"), "j").select(wire.chunk_json().alias("j")).first().j
+    assert json.loads(back) == {k: v for k, v in good.items() if k != "more"} | {"location": "a.py:1-4294967295"}
+    with pytest.raises(Exception, match="Invalid chunk: no object"):
+        wire.checked(df, "j").collect()
+    res = spark.createDataFrame([(0, 2, 0.5, "b", "q.py", 1, 2, None), (0, 1, 0.75, "a", "p.py", 1, 2, "python")], "query_id long, rank int, score double, content string, file_path string, start_line long, end_line long, language string")
+    out = {r.query_id: json.loads(r.payload) for r in wire.payloads(res, spark.createDataFrame([(0, "ask"), (1, "none")], "query_id long, text string")).collect()}
+    assert [r["score"] for r in out[0]["results"]] == [0.75, 0.5] and out[0]["results"][0]["chunk"]["location"] == "p.py:1-2" and out[0]["results"][1]["chunk"]["language"] is None
+    assert out[1] == {"query": "none", "results": []}
+    assert json.loads(res.filter("rank = 1").select(wire.result_json(F.col("score")).alias("j")).first().j)["chunk"]["startLine"] == 1
+
+
+def test_static_model(tmp_path):
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from glyphmill.operators import dense
+
+    t = Tokenizer(models.WordLevel({"[UNK]": 0, "sea": 1, "sky": 2}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "tokenizer.json"))
+    m = np.array([[9, 9], [3, 4], [0, 2]], np.float32)
+
+    def store(**arrays):
+        head, data = {}, b""
+        for k, (kind, a) in arrays.items():
+            head[k] = {"dtype": kind, "shape": list(a.shape), "data_offsets": [len(data), len(data) + a.nbytes]}
+            data += a.tobytes()
+        text = json.dumps(head).encode()
+        (tmp_path / "model.safetensors").write_bytes(len(text).to_bytes(8, "little") + text + data)
+        dense._static.cache_clear()
+        return dense.load_model(str(tmp_path))
+
+    v = store(embeddings=("F32", m)).encode(["sea", "sea sky what", "", "what"])
+    assert np.allclose(v, [[0.6, 0.8], np.array([1.5, 3]) / 11.25**0.5, [0, 0], [0, 0]])
+    v = store(embeddings=("F16", m.astype(np.float16)[::-1].copy()), mapping=("I64", np.array([2, 1, 0])), weights=("F64", np.array([1.0, 2.0, 1.0]))).encode(["sea sky"])
+    assert np.allclose(v, np.array([3, 5]) / 34**0.5)
+    (tmp_path / "config.json").write_text(json.dumps({"normalize": False}))
+    assert np.allclose(store(embeddings=("F32", m)).encode(["sea"]), [[3, 4]])
+    assert isinstance(dense.load_model(str(tmp_path / "none")), dense.StubModel)
+
+
 def test_strict_filters(spark):
     rows = [(0, "nothing here", "lib/other.py", 1, 2, "python"), (1, "class HandlerStack:", "src/handler_stack.py", 1, 2, "python")]
     chunks = spark.createDataFrame(rows, ix.CHUNK_SCHEMA)
@@ -176,7 +246,8 @@ def test_normal_source():
     assert [ix.normal_source(x) for x in ("a/./b//c/..", "/../x/", "https://a//b", "git@h:r", ".", "a/../..")] == ["a/b", "/x/", "https://a//b", "git@h:r", ".", ".."]
 
 
-def test_cli(spark, repo, tmp_path, capsys):
+def test_cli(spark, repo, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path))
     out = str(tmp_path / "out")
     assert cli.main(["index", repo, "-o", out], spark) == 0
     assert cli.main(["search", "HandlerStack", "--index", out, "-k", "2"], spark) == 0
@@ -186,6 +257,8 @@ def test_cli(spark, repo, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["query"] == "Chunks related to src/util.ts:1"
     assert cli.main(["find-related", "src/util.ts", "x", "--index", out], spark) == 1
     assert cli.main(["search", "x", "--index", str(tmp_path / "none")], spark) == 1
+    noted = [json.loads(x) for x in open(telemetry.default_file())]
+    assert [(r["call"], r["results"]) for r in noted][:1] == [("search", 2)] and noted[0]["file_chars"] >= noted[0]["snippet_chars"] > 0
     session = ix.Session(lambda s, r: ix.Index.load(spark, out))
     lines = [json.dumps({"id": 1, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "HandlerStack", "top_k": 1}}}), json.dumps({"id": 2, "method": "tools/list"}), "junk"]
     buf = io.StringIO()
@@ -207,7 +280,7 @@ def test_savings(spark, tmp_path):
     assert {r.call: r.calls for r in telemetry.by_call(telemetry.read(spark, str(f))).collect()} == {"search": 1, "other": 1}
     text = telemetry.report(spark, str(f), NOW, verbose=True, color=False)
     assert "Last 7 days" in text and "other" in text and "50%" in text
-    assert telemetry.report(spark, str(tmp_path / "no"), NOW) == "No stats yet. Run a search first."
+    assert telemetry.report(spark, str(tmp_path / "no"), NOW) == "There is nothing to report before the first search."
     assert {r.calls for r in telemetry.summary(telemetry.read(spark, str(tmp_path / "no")), NOW).collect()} == {0}
     results = spark.createDataFrame([("a😀", "p"), ("b", "p"), ("c", "q")], "content string, file_path string")
     sizes = spark.createDataFrame([("p", 100)], "file_path string, chars long")

@@ -170,6 +170,16 @@ def test_many_queries_in_blocks(spark):
     assert all(got[i, r + 1] == want[i, r] for i in range(3000) for r in range(3))
 
 
+def test_knn_within(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "chunk_id long, v array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "query_id long, v array<float>")
+    pool = lambda *rows: spark.createDataFrame(rows, "query_id long, chunk_id long")
+    got = sorted((r.query_id, r.sem_rank, r.chunk_id) for r in dense.knn_within(v, q, pool((7, 2), (7, 1), (7, 1), (8, 0)), 5).collect())
+    assert got == [(7, 1, 1), (7, 2, 2), (8, 1, 0)]
+    with pytest.raises(ValueError):
+        dense.knn_within(v, q, pool((7, 3)), 5)
+
+
 def test_stub_model():
     assert dense.fnv1a("hello") == 1335831723
     v = dense.stub_vector("hello", 8)
