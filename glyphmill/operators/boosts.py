@@ -117,6 +117,16 @@ def keyword_matches(words: Column, parts: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.exists(parts, lambda p: near(w, p))))
 
 
+def word_share(rows: DataFrame) -> DataFrame:
+    """The rows with ``ratio``, the share of their ``words`` that ``file_path`` answers; 0 without words.
+
+    An exploded value is worked out once: the path's parts not for each word again, the share not for each use.
+    """
+    parts = rows.select("*", F.explode(F.array(identifiers(F.col("file_path")))).alias("parts"))
+    share = F.when(F.size("words") > 0, keyword_matches(F.col("words"), F.col("parts")) / F.size("words")).otherwise(0.0)
+    return parts.select("*", F.explode(F.array(share)).alias("ratio")).drop("parts")
+
+
 def definers(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(of_chunk, name)`` of the different ``(chunk_id, name)`` whose chunk defines the name, each looked at once.
 
@@ -162,8 +172,8 @@ def query_boost(cand: DataFrame, spec: DataFrame, chunks: DataFrame, filtered: b
     rows = rows.withColumn("known", ~F.min("new").over(by_pair)).filter(~(F.col("new") & F.col("known")))
     rows = rows.withColumn("top", F.max("score").over(by_query)).filter("top is not null").join(q, "query_id")
     rows = rows.join(hits, (F.col("query_id") == F.col("hq")) & (F.col("chunk_id") == F.col("hc")), "left")
-    ratio = keyword_matches(F.col("words"), identifiers(F.col("file_path"))) / F.size("words")
-    like = F.when((F.size("words") > 0) & (ratio >= RATIO_MIN), F.col("top") * STEM * ratio).otherwise(0.0)
+    rows = word_share(rows)
+    like = F.when(F.col("ratio") >= RATIO_MIN, F.col("top") * STEM * F.col("ratio")).otherwise(0.0)
     worth = tier(F.coalesce("hit", F.lit(False)), low, F.col("names"), F.col("top") * F.col("scale"))
     rows = rows.withColumn("worth", worth).filter("not new or worth <> 0")
     score = F.when(F.col("new"), F.col("worth")).otherwise(F.col("score") + like + F.col("worth"))

@@ -189,9 +189,8 @@ def definition_inject(spark: SparkSession, sf: str) -> DataFrame:
 def stem_boost(spark: SparkSession, sf: str) -> DataFrame:
     """The share of a query's words that a candidate's file name answers."""
     spec = boosts.query_spec(_asked(spark, sf))
-    rows = _candidates(spark, sf, spec).join(spec.filter(~F.col("symbol")).select("query_id", "words"), "query_id").filter(F.size("words") > 0)
-    ratio = boosts.keyword_matches(F.col("words"), paths.identifiers(F.col("file_path"))) / F.size("words")
-    return rows.select("query_id", "chunk_id", F.round(ratio, 9).alias("ratio")).filter(F.col("ratio") >= boosts.RATIO_MIN)
+    rows = boosts.word_share(_candidates(spark, sf, spec).join(spec.filter(~F.col("symbol")).select("query_id", "words"), "query_id"))
+    return rows.filter(F.col("ratio") >= boosts.RATIO_MIN).select("query_id", "chunk_id", F.round("ratio", 9).alias("ratio"))
 
 
 @query("SELECT query_id, chunk_id, round(score, 9) AS score, ord FROM boosted JOIN spec USING (query_id) WHERE NOT symbol AND len(emb) > 0")
