@@ -12,8 +12,6 @@ Conventions that hold for every operator here unless its docstring says more:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.session import ship
+from glyphmill.session import discard, ship, stash
+
+__all__ = ["batches", "binary", "buffer", "by_group", "discard", "prepare", "stash", "texts", "unbinary", "unused"]
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -34,48 +34,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BYTES, str(1 << 24))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for work tables: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder; a cluster has none
-    that all machines see, so there it is an error.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if got:
-        return got.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmill-work-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write a work table and read it back: cuts lineage and survives lost executors.
-
-    The table goes when the driver ends, or at once by :func:`discard`.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/glyphmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, there = _file_system(spark, path)
-    fs.deleteOnExit(there)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._glyphmill_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete work tables that nothing reads any more."""
-    for t in tables:
-        fs, there = _file_system(t.sparkSession, t._glyphmill_path)
-        fs.delete(there, True)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of the table has, in any case."""
     taken = {c.lower() for c in df.columns}

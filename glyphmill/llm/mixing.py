@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     split = F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)).cast("long")
     leaves = units.filter((F.col("p") > TINY) & (F.col("p") < ONE)).select(
         "doc_id", "p", key.alias("k"), F.when(F.col("source").isNull(), 1).otherwise(0).alias("none"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), split).alias("leaf"),
-    )
+    ).distinct()  # one id may stand in any number of rows; they don't fill a leaf
 
     def reduce(df: DataFrame) -> DataFrame:
         def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
