@@ -1,4 +1,7 @@
+import math
 import os
+import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +83,35 @@ def test_held_out_accuracy_and_query(spark):
     assert (good.score >= KEEP).mean() > 0.98 and (bad.score < KEEP).mean() > 0.9
     kept = entry.queries()["op5_quality"](spark, sf).join(lab, "doc_id").toPandas()
     assert (kept.quality == 1).mean() > 0.98 and len(kept[kept.quality == 1]) > 0.98 * lab.filter("quality = 1").count()
+
+
+def plainly(text):
+    """The features of one text, by the book."""
+    data, w = text.encode(), [x.encode() for x in re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())]
+    size, one = max(len(data), 1), max(len(w), 1)
+    of = lambda marks: sum(chr(c) in marks for c in data if c < 128)
+    up, low = of(string.ascii_uppercase), of(string.ascii_lowercase)
+    g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    return [
+        math.log1p(len(w)), sum(map(len, w)) / one, up / max(up + low, 1), of("#$%&*^~{}<>@\\=+_") / size, of("!?") / one, of(".:;") / one, of(string.digits) / size, len(set(w)) / one**0.8, max(map(w.count, set(w)), default=0) / one,
+        math.log1p(size / (1 + data.count(b"\n"))), sum(a == b for a, b in zip(w, w[1:])) / one, 1 - len(set(g)) / max(len(g), 1), of(",") / one, sum(c >= 128 for c in data) / size, sum(len(x) <= 2 for x in w) / one, of("|") / one,
+    ]
+
+
+def test_query_against_brute_force(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no data")
+    d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = train(d, lab)
+    want = {}
+    for r in d.collect():
+        x = plainly(r.text or "")
+        z = m.bias + sum(t[sum(e <= v for e in edges)] for v, edges, t in zip(x, m.edges, m.tables))
+        z += sum(t[sum(e <= x[a] for e in m.coarse[a]), sum(e <= x[b] for e in m.coarse[b])] for a, b, t in m.pairs)
+        want[r.doc_id] = 1 / (1 + math.exp(-z))
+    have = {r.doc_id: r.score for r in entry.queries()["op5_quality"](spark, sf).collect()}
+    assert set(have) == {i for i, s in want.items() if round(s, 6) >= KEEP} and 0 < len(have) < len(want)
+    assert all(abs(have[i] - want[i]) < 2e-6 for i in have)

@@ -92,3 +92,38 @@ def test_held_out_on_the_tables(spark):
     assert (s[s.toxic == 1].score >= 0.5).mean() > 0.8 and (s[s.toxic == 0].score >= 0.5).mean() < 0.05
     out = entry.queries()["op7_toxicity"](spark, sf).join(lab, "doc_id").toPandas()
     assert (out.toxic == 1).mean() > 0.9 and len(out[out.toxic == 1]) > 0.9 * lab.filter("toxic = 1").count()
+
+
+def test_query_against_brute_force(spark):
+    """Word by word and window by window, in plain Python."""
+    import re
+    from math import ceil, exp
+
+    import __spark_entry__ as entry
+    from glyphmill.llm.toxicity import subwords
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no data")
+    d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = train(d, lab)
+    worth = {}
+
+    def word(w):
+        if w not in worth:
+            worth[w] = float(np.mean(m.weight[subwords(pa.array([w]))[0]]))
+            # n-grams of 3 to 5 bytes of the word between its marks, and the word itself
+            n = len(w.encode()) + 2
+            assert len(subwords(pa.array([w]))[0]) == 1 + sum(max(n - k + 1, 0) for k in (3, 4, 5))
+        return worth[w]
+
+    want = {}
+    for r in d.collect():
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").lower())
+        w = [x for k, x in enumerate(w) if not k or x != w[k - 1]]
+        starts = [STRIDE * k for k in range(1 + max(0, ceil((len(w) - WINDOW) / STRIDE)))] if w else []
+        z = [sum(map(word, w[a : a + WINDOW])) / len(w[a : a + WINDOW]) + m.bias - m.shift for a in starts]
+        want[r.doc_id] = max((1 / (1 + exp(-min(max(x, -50), 50))) for x in z), default=0.0)
+    have = {r.doc_id: r.score for r in entry.queries()["op7_toxicity"](spark, sf).collect()}
+    assert all(abs(have[i] - want[i]) < 1e-5 for i in have)
+    assert {i for i, s in want.items() if s >= 0.50001} <= set(have) <= {i for i, s in want.items() if s >= 0.49999}
