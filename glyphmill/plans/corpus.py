@@ -39,7 +39,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     """``(query_id, text, alpha, v)``: the benchmark's passages and ASKED, with vectors from the table."""
-    own = spark.createDataFrame(list(ASKED), "query_id long, text string, alpha double")
+    own = spark.createDataFrame(list(ASKED), "query_id long, text string, alpha double").coalesce(1)  # eight rows
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("double").alias("alpha")).unionByName(own)
     return q.join(vectors(spark, sf).select(F.col("chunk_id").alias("vid"), "v"), F.pmod("query_id", F.lit(500)) == F.col("vid"), "left").drop("vid")
 
