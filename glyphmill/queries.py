@@ -12,7 +12,7 @@ from glyphmill.functions import paths, text, tokens
 from glyphmill.operators import bm25, boosts, chunking, dense, fusion, lookup
 from glyphmill.operators.rerank import cut, rerank
 from glyphmill.plans import corpus, search, sql
-from glyphmill.session import stash, table
+from glyphmill.session import spread, stash, table
 from glyphmill.sources import languages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,7 @@ def query(final: str | None = None) -> Callable:
 
 def _index(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> bm25.Postings:
     """The index of the corpus, or what of it the queries ``asked`` need."""
-    counted = bm25.chunk_terms(corpus.chunks(spark, sf))
+    counted = bm25.chunk_terms(spread(corpus.chunks(spark, sf)))
     if asked is None:
         return bm25.build(counted)
     return bm25.build(stash(counted, "terms"), bm25.query_terms(asked))
@@ -79,7 +79,7 @@ def find_related(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT chunk_id, len(l) AS n_tokens, len(list_distinct(l)) AS n_distinct FROM (SELECT chunk_id, flatten(list_transform(regexp_extract_all(content, '{tokens.TOKEN}'), lambda tok: {sql.split('tok')})) AS l FROM chunks)")
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens and distinct tokens of every chunk's content."""
-    t = bm25.chunk_terms(corpus.chunks(spark, sf), enriched=False)
+    t = bm25.chunk_terms(spread(corpus.chunks(spark, sf)), enriched=False)
     return t.select("chunk_id", F.col("dl").alias("n_tokens"), F.size("terms").cast("long").alias("n_distinct"))
 
 

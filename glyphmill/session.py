@@ -58,6 +58,12 @@ def ship(spark: SparkSession) -> None:
     sc._glyphmill_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has fewer pieces than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for work tables: ``spark.checkpoint.dir``.
 
