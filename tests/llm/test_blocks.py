@@ -83,3 +83,27 @@ def test_meeting_with_a_hot_key(spark):
     df = spark.createDataFrame([(i, [1, 100 + i % groups], bytearray(s[i].tobytes())) for i in range(n)], "sid long, keys array<long>, sketch binary")
     comp = {r.node: r.comp for r in meeting(df, opened(), df.select("sid", "sketch"), 64, 0.5).collect()}
     assert len(comp) == n and all(comp[i] == i % groups for i in range(n))
+
+
+def chain():
+    """Sketches of three items: the second is similar to both others, which are unlike."""
+    s = np.random.default_rng(2).integers(1, 256, (3, 64)).astype(np.uint8)
+    s[1, :32], s[1, 32:] = s[0, :32], s[2, 32:]
+    return s
+
+
+def test_an_item_whose_like_has_its_key_goes_on(spark):
+    s = chain()
+    # the first two in one batch, the third, similar to the second only, in another
+    df = spark.createDataFrame([(i, [7], bytearray(s[i].tobytes())) for i in range(3)], "sid long, keys array<long>, sketch binary").repartitionByRange(2, "sid")
+    parts = df.rdd.glom().map(lambda p: [r.sid for r in p]).collect()
+    assert sorted(map(len, parts)) == [1, 2]
+    comp = {r.node: r.comp for r in meeting(df, opened(), df.select("sid", "sketch"), 64, 0.5).collect()}
+    assert comp == {0: 0, 1: 0, 2: 0}
+
+
+def test_whole_connects_across_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 6)
+    s = np.random.default_rng(4).integers(1, 256, (40, 64)).astype(np.uint8)
+    s[31, :32], s[31, 32:] = s[2, :32], s[17, 32:]
+    assert sorted({tuple(sorted(e)) for e in blocks.whole(s, 0.5)}) == [(2, 31), (17, 31)]

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from rows import awkward, docs, empty, got, passage
 
-from glyphmill.llm.fingerprints import BAND, BANDS, HASHES, THRESHOLD, band_keys, fingerprints, joined, phrases, signatures, similar_classes
+from glyphmill.llm.fingerprints import BAND, BANDS, HASHES, THRESHOLD, band_keys, fingerprints, joined, phrases, prefix_keys, signatures, similar_classes
 
 
 def parse(symbols):
@@ -74,6 +74,22 @@ def test_bands_find_what_is_similar():
     assert not (band_keys(a, BANDS, BAND) == band_keys(b, BANDS, BAND)).any()
 
 
+def test_all_that_is_similar_shares_a_key():
+    """Signatures that agree in just half of their hashes, wherever these are: none is missed, in any order."""
+    r = np.random.default_rng(1)
+    a = r.integers(0, 1 << 32, (4000, HASHES), dtype=np.uint32)
+    b = r.integers(0, 1 << 32, (4000, HASHES), dtype=np.uint32)
+    same = r.permuted(np.arange(HASHES) < HASHES // 2 * np.ones((4000, 1)), axis=1)
+    same[0] = np.arange(HASHES) % 2 == 0
+    b = np.where(same, a, b)
+    for order in (np.zeros(1 << 20, np.uint8), r.integers(0, 256, 1 << 20).astype(np.uint8)):
+        x, y = (prefix_keys(s, THRESHOLD * HASHES, order) for s in (a, b))
+        assert x.shape[1] == HASHES // 2 + 1
+        assert all(set(p) & set(q) for p, q in zip(x.tolist(), y.tolist()))
+    # two in which no band agrees were never compared
+    assert not (band_keys(a[:1], BANDS, BAND) == band_keys(b[:1], BANDS, BAND))[:, : HASHES // BAND].any()
+
+
 def test_texts_that_share_only_small_phrases_are_unlike(spark):
     rows = ["alpha beta gamma delta to the to the", "one two three to the four to the"]
     assert got(similar_classes(docs(spark, rows))) == [(0, 0, 0), (1, 1, 0)]
