@@ -107,3 +107,26 @@ def test_whole_connects_across_blocks(monkeypatch):
     s = np.random.default_rng(4).integers(1, 256, (40, 64)).astype(np.uint8)
     s[31, :32], s[31, 32:] = s[2, :32], s[17, 32:]
     assert sorted({tuple(sorted(e)) for e in blocks.whole(s, 0.5)}) == [(2, 31), (17, 31)]
+
+
+def lonely(n, pairs):
+    """Unlike sketches, but for pairs that agree in every other byte only."""
+    s = np.random.default_rng(6).integers(1, 256, (n, 64)).astype(np.uint8)
+    for x, y in pairs:
+        s[y, ::2] = s[x, ::2]
+    return s
+
+
+def pairs_found(spark, n, pairs, **more):
+    s = lonely(n, pairs)
+    df = spark.createDataFrame([(i, [7], bytearray(s[i].tobytes())) for i in range(n)], "sid long, keys array<long>, sketch binary")
+    return sorted((r.comp, r.node) for r in meeting(df, opened(), df.select("sid", "sketch"), 64, 0.5, **more).collect() if r.comp != r.node)
+
+
+def test_a_key_of_any_size_gives_the_same_links(spark):
+    """The same pairs are found under a key of 300 items and of 4,500, by one task and by pairs of tiles."""
+    few = [(3, 299), (5, 150)]
+    assert pairs_found(spark, 300, few) == few
+    many = [(3, 4400), (5, 150), (2500, 2600)]
+    assert pairs_found(spark, 4500, many) == many
+    assert pairs_found(spark, 300, few, most=40, tile=50) == few
