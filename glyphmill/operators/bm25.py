@@ -17,8 +17,8 @@ from glyphmill.operators.lookup import filter_kinds, in_blocks, mask, passing
 from glyphmill.session import ship
 
 K1, B = 1.5, 0.75
-#: Bytes of queries' texts that go to all workers at once, and chunks that are scored at once.
-QUERY_BYTES, SLICE = 4 << 20, 4096
+#: Bytes of queries' texts that go to all workers at once, chunks that are scored at once, and scores from which on a batch is given out.
+QUERY_BYTES, SLICE, MOST = 4 << 20, 4096, 1 << 18
 
 
 class Postings(NamedTuple):
@@ -81,17 +81,101 @@ def contributions(index: Postings, terms: DataFrame) -> DataFrame:
     return index.postings.join(weights, "term").select("query_id", "chunk_id", "pos", contrib.alias("contrib"))
 
 
-def scores(index: Postings, queries: DataFrame) -> DataFrame:
+def scores(index: Postings, queries: DataFrame, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``(query_id, chunk_id, score)`` of every chunk with a query term.
 
     Single-precision sums in the order of the query's terms, so that ties are the same
-    wherever the rows come from.
+    wherever the rows come from. With chunks' counts the scores are added up where these are, for a block of queries at a time, and nothing
+    is shuffled; postings, and queries that share an id, are joined.
     """
+    queries = queries.select("query_id", "text")
+    if index.counted is None or queries.groupBy("query_id").count().filter("count > 1").first():
+        return _joined(index, queries)
+    out = None
+    for shared in _blocks(index, queries, query_bytes):
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids = pa.array([q for q, _ in shared.value[0]], pa.int64())
+            for part in _slices(it):
+                cid, held, size = part.column(0).to_numpy(), [], 0
+                for q, total in _totals(part, shared.value):
+                    # a term adds more than 0, so these are all chunks that have one
+                    y = np.flatnonzero(total > 0)
+                    if len(y):
+                        held.append((q, y, total[y]))
+                        size += len(y)
+                    if size >= MOST:
+                        yield _pairs(ids, cid, held)
+                        held, size = [], 0
+                if held:
+                    yield _pairs(ids, cid, held)
+
+        part = index.counted.select("chunk_id", "dl", "terms", "tfs").mapInArrow(run, _SCORES)
+        out = part if out is None else out.union(part)
+    return index.counted.sparkSession.createDataFrame([], _SCORES) if out is None else out
+
+
+_SCORES = "query_id long, chunk_id long, score float"
+
+
+def _joined(index: Postings, queries: DataFrame) -> DataFrame:
     hits = contributions(index, query_terms(queries)).groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "contrib"))).alias("parts"))
     total = F.aggregate("parts", F.lit(0.0).cast("float"), lambda a, x: (a.cast("double") + x["contrib"]).cast("float"))
     return hits.select("query_id", "chunk_id", total.alias("score"))
 
 
+def _pairs(ids: pa.Array, cid: np.ndarray, held: list) -> pa.RecordBatch:
+    at = np.repeat([q for q, _, _ in held], [len(y) for _, y, _ in held])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(cid[np.concatenate([y for _, y, _ in held])]), pa.array(np.concatenate([x for _, _, x in held]))], ["query_id", "chunk_id", "score"])
+
+
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for lo in range(0, b.num_rows, SLICE):
+            yield b.slice(lo, SLICE)
+
+
+def _totals(part: pa.RecordBatch, value: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """Every query's place and its scores of all chunks of ``part(chunk_id, dl, terms, tfs)``."""
+    asked, vocabulary, idf, avgdl = value[:4]
+    dl = part.column(1).to_numpy().astype(float)
+    size = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+    term = pc.fill_null(pc.index_in(part.column(2).flatten(), value_set=vocabulary), -1).to_numpy()
+    hit = np.flatnonzero(term >= 0)
+    row = np.repeat(np.arange(len(dl)), size)[hit]
+    tf, term = part.column(3).flatten().to_numpy()[hit].astype(float), term[hit]
+    denom = tf + K1 * (1 - B + B * dl[row] / avgdl)
+    add = idf[term] * tf * (K1 + 1) / np.where(denom == 0, 1.0, denom)
+    order = np.argsort(term, kind="stable")
+    row, add = row[order], add[order]
+    to = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    for q, (_, terms) in enumerate(asked):
+        total = np.zeros(len(dl), np.float32)
+        for t in terms[to[terms + 1] > to[terms]]:
+            x = row[to[t] : to[t + 1]]
+            total[x] = (total[x].astype(float) + add[to[t] : to[t + 1]]).astype(np.float32)
+        yield q, total
+
+
+def _blocks(index: Postings, queries: DataFrame, query_bytes: int) -> Iterator:
+    """For each block of queries what :func:`_totals` needs, sent to the workers, and the filters of ``queries`` that have some."""
+    spark = index.counted.sparkSession
+    ship(spark)
+    stats = index.corpus.first()
+    for block in in_blocks(queries, lambda r: 2 * len(r.text or "") + 64, query_bytes):
+        own = [ordered_terms(r.text) for r in block]
+        vocabulary = pa.array(sorted({t for x in own for t in x}), pa.string())
+        df = _frequencies(index.counted, vocabulary)
+        at = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+        idf = np.log(1.0 + (stats.n - df + 0.5) / (df + 0.5))
+        asked = [(r.query_id, np.array([at[t] for t in x], np.int64)) for r, x in zip(block, own)]
+        place: dict[int, list[int]] = {}
+        for i, r in enumerate(block):
+            place.setdefault(r.query_id, []).append(i)
+        kinds = [(langs, parts, {i for q in ids for i in place[q]}) for langs, parts, ids in filter_kinds(block)] if "filter_paths" in queries.columns else []
+        yield spark.sparkContext.broadcast((asked, vocabulary, idf, stats.avgdl or 1.0, kinds))
+
+
 def top_k(scored: DataFrame, k, rank: str = "rank") -> DataFrame:
     """The ``k`` best positive scores of each query, ties by chunk; ``k`` is a number or a column."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -126,65 +210,35 @@ def best(index: Postings, queries: DataFrame, k: int, rank: str = "rank", chunks
     """
     if index.counted is None:
         return top_k(scores(index, queries) if chunks is None else passing(scores(index, queries), queries, chunks), k, rank)
-    spark = index.counted.sparkSession
-    ship(spark)
     filters = ["filter_languages", "filter_paths"] if chunks is not None else []
     rows = index.counted.select("chunk_id", "dl", "terms", "tfs")
     if chunks is not None:
         rows = rows.join(chunks.select(F.col("chunk_id").alias("of_chunk"), "file_path", "language"), F.col("chunk_id") == F.col("of_chunk")).drop("of_chunk")
-    stats = index.corpus.first()
     hits = None
-    for block in in_blocks(queries.select("query_id", "text", *filters), lambda r: 2 * len(r.text or "") + 64, query_bytes):
-        own = [ordered_terms(r.text) for r in block]
-        vocabulary = pa.array(sorted({t for x in own for t in x}), pa.string())
-        df = _frequencies(index.counted, vocabulary)
-        at = {t: i for i, t in enumerate(vocabulary.to_pylist())}
-        idf = np.log(1.0 + (stats.n - df + 0.5) / (df + 0.5))
-        asked = [(r.query_id, np.array([at[t] for t in x], np.int64)) for r, x in zip(block, own)]
-        place: dict[int, list[int]] = {}
-        for i, r in enumerate(block):
-            place.setdefault(r.query_id, []).append(i)
-        kinds = [(langs, parts, {i for q in ids for i in place[q]}) for langs, parts, ids in filter_kinds(block)] if filters else []
-        shared = spark.sparkContext.broadcast((asked, vocabulary, idf, stats.avgdl or 1.0, kinds))
+    for shared in _blocks(index, queries.select("query_id", "text", *filters), query_bytes):
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked, vocabulary, idf, avgdl, kinds = shared.value
+            asked, kinds = shared.value[0], shared.value[4]
             found = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(asked)
-            for b in it:
-                for lo in range(0, b.num_rows, SLICE):
-                    part = b.slice(lo, SLICE)
-                    cid, dl = part.column(0).to_numpy(), part.column(1).to_numpy().astype(float)
-                    size = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
-                    term = pc.fill_null(pc.index_in(part.column(2).flatten(), value_set=vocabulary), -1).to_numpy()
-                    hit = np.flatnonzero(term >= 0)
-                    row = np.repeat(np.arange(len(cid)), size)[hit]
-                    tf, term = part.column(3).flatten().to_numpy()[hit].astype(float), term[hit]
-                    denom = tf + K1 * (1 - B + B * dl[row] / avgdl)
-                    add = idf[term] * tf * (K1 + 1) / np.where(denom == 0, 1.0, denom)
-                    order = np.argsort(term, kind="stable")
-                    row, add = row[order], add[order]
-                    to = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-                    masks = [(mask(part.column(5), part.column(4), langs, parts), own) for langs, parts, own in kinds]
-                    for q, (_, terms) in enumerate(asked):
-                        total = np.zeros(len(cid), np.float32)
-                        for t in terms[to[terms + 1] > to[terms]]:
-                            x = row[to[t] : to[t + 1]]
-                            total[x] = (total[x].astype(float) + add[to[t] : to[t + 1]]).astype(np.float32)
-                        for ok, own in masks:
-                            if q in own:
-                                total[~ok] = 0
-                        ids, score = found[q]
-                        y = np.flatnonzero((total > 0) & (total >= (score[-1] if len(score) >= k else 0)))
-                        if len(y):
-                            ids, score = np.r_[ids, cid[y]], np.r_[score, total[y]]
-                            first = np.lexsort((ids, -score))[:k]
-                            found[q] = ids[first], score[first]
+            for part in _slices(it):
+                cid = part.column(0).to_numpy()
+                masks = [(mask(part.column(5), part.column(4), langs, parts), own) for langs, parts, own in kinds]
+                for q, total in _totals(part, shared.value):
+                    for ok, own in masks:
+                        if q in own:
+                            total[~ok] = 0
+                    ids, score = found[q]
+                    y = np.flatnonzero((total > 0) & (total >= (score[-1] if len(score) >= k else 0)))
+                    if len(y):
+                        ids, score = np.r_[ids, cid[y]], np.r_[score, total[y]]
+                        first = np.lexsort((ids, -score))[:k]
+                        found[q] = ids[first], score[first]
             n = [len(ids) for ids, _ in found]
             if sum(n):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in asked], n)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "chunk_id", "score"])
 
-        part = rows.mapInArrow(run, "query_id long, chunk_id long, score float")
+        part = rows.mapInArrow(run, _SCORES)
         hits = part if hits is None else hits.union(part)
     if hits is None:
-        hits = spark.createDataFrame([], "query_id long, chunk_id long, score float")
+        hits = index.counted.sparkSession.createDataFrame([], _SCORES)
     return top_k(hits, k, rank)

@@ -50,6 +50,26 @@ def test_best_is_the_top_of_all_scores(spark, filtered):
         assert sorted(map(tuple, bm25.best(ix, q, 4, chunks=meta, query_bytes=size).collect())) == want
 
 
+def test_scores_are_added_up_where_chunks_are(spark):
+    """The same scores as by a join of postings, in one block or many, without shuffling pairs."""
+    rng = random.Random(6)
+    word = lambda: rng.choice("alpha beta gammaRay delta_two eps zeta eta theta".split())
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 12))), "f.py") for i in range(300)], "chunk_id long, content string, file_path string").repartition(3)
+    q = spark.createDataFrame([(None if i == 3 else i, " ".join(word() for _ in range(rng.randint(0, 5)))) for i in range(12)] + [(20, None)], "query_id long, text string")
+    ix = bm25.build(bm25.chunk_terms(docs))
+    rows = lambda df: {(r.query_id, r.chunk_id): r.score for r in df.collect()}
+    want = rows(bm25.scores(ix._replace(counted=None), q))
+    assert len(want) > 1000
+    for size in (1 << 20, 1):
+        found = bm25.scores(ix, q, size)
+        assert rows(found) == pytest.approx(want, rel=1e-6) and found.count() == len(want)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    # queries that share an id count as one
+    twice = q.union(q)
+    assert rows(bm25.scores(ix, twice)) == rows(bm25.scores(ix._replace(counted=None), twice))
+    assert bm25.scores(ix, q.filter("query_id < 0")).count() == 0
+
+
 def test_rrf_and_blend(spark):
     s = spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.9), (0, 2, 0.5)], "query_id long, chunk_id long, score double")
     got = {r.chunk_id: r.rrf for r in fusion.rrf_rank(s).collect()}
