@@ -48,19 +48,23 @@ def unique_tokens(text: Column) -> Column:
 _token, _humps, _plain = re.compile(TOKEN), re.compile(HUMPS), re.compile("[a-z]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _known: dict[str, tuple[str, ...]] = {}
+#: Tokens whose parts a worker keeps: the frequent ones come again soon, most others are seen once.
+KNOWN = 1 << 15
 
 
 def parts_of(token: str) -> tuple[str, ...]:
     """:func:`split_identifier` of one token; those seen before are kept, up to a number."""
     got = _known.get(token)
     if got is None:
-        low = token.translate(_LOWER)
-        got = (low,)
-        if not _plain.fullmatch(token):
+        if _plain.fullmatch(token):
+            got = (token,)
+        else:
+            low = token.translate(_LOWER)
+            got = (low,)
             more = [p for p in low.split("_") if p] if "_" in token else [h.translate(_LOWER) for h in _humps.findall(token)]
             if len(more) > 1:
                 got = (low, *more)
-        if len(_known) >= 1 << 18:
+        if len(_known) >= KNOWN:
             _known.clear()
         _known[token] = got
     return got

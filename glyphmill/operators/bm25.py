@@ -18,7 +18,7 @@ from glyphmill.session import ship
 
 K1, B = 1.5, 0.75
 #: Bytes of queries' texts that go to all workers at once, chunks that are scored at once, and scores from which on a batch is given out.
-QUERY_BYTES, SLICE, MOST = 4 << 20, 4096, 1 << 18
+QUERY_BYTES, SLICE, MOST = 4 << 20, 2048, 1 << 18
 
 
 class Postings(NamedTuple):
@@ -188,8 +188,8 @@ def _frequencies(counted: DataFrame, vocabulary: pa.Array) -> np.ndarray:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value), np.int64)
-        for b in it:
-            at = pc.index_in(b.column(0).flatten(), value_set=shared.value).drop_null()
+        for part in _slices(it):
+            at = pc.index_in(part.column(0).flatten(), value_set=shared.value).drop_null()
             total += np.bincount(at.to_numpy(), minlength=len(total))
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], ["t", "n"])

@@ -70,6 +70,25 @@ def test_scores_are_added_up_where_chunks_are(spark):
     assert bm25.scores(ix, q.filter("query_id < 0")).count() == 0
 
 
+def test_workers_hold_slices_and_few_tokens(spark):
+    """A worker's memory doesn't follow the number of different tokens, nor of the rows of a batch beyond the batch itself."""
+    import tracemalloc
+
+    from glyphmill.functions import tokens
+
+    tokens._known.clear()
+    tracemalloc.start()
+    for i in range(200):
+        tokens.term_counts(" ".join(f"word{i}x{j}" for j in range(1000)))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 16 << 20
+    counted = toks(spark, [["hello", "world"]] * 3 + [["world"]] * 6000)
+    assert bm25._frequencies(counted.coalesce(1), bm25.pa.array(["hello", "none", "world"])).tolist() == [3, 0, 6003]
+    index = bm25.build(counted.coalesce(1))
+    assert {r.chunk_id for r in bm25.best(index, asked(spark, "hello"), 9).collect()} == {0, 1, 2} and bm25.scores(index, asked(spark, "world")).count() == 6003
+
+
 def test_rrf_and_blend(spark):
     s = spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.9), (0, 2, 0.5)], "query_id long, chunk_id long, score double")
     got = {r.chunk_id: r.rrf for r in fusion.rrf_rank(s).collect()}
